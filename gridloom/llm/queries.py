@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import embed_dedup, mixing, simhash, urlfilter
+from gridloom.llm import ann, embed_dedup, licenses, mixing, packing, simhash, urlfilter, warc
 from gridloom.llm.common import table
 
 
@@ -67,6 +67,24 @@ from embeddings e left join n on n.a = e.vec_id left join c on c.a = e.vec_id
 """
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP6 = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) d from pages
+), k as (select d, max(page_id) keeper from p where n >= 1000 group by d)
+select page_id, n::bigint payload_bytes, d payload_digest, case when k.keeper <> page_id then 'revisit' else 'response' end record_type,
+  case when k.keeper <> page_id then k.keeper end refers_to
+from p left join k using (d)
+"""
+
+
 def list_entries(pages: DataFrame, first_day: str = "2024-01-01") -> DataFrame:
     """A dated filter list over the hosts and domains of pages, by a rule on their md5: three entries for about half of them."""
     name = F.explode(urlfilter.suffixes(urlfilter.host(F.col("url")))).alias("pattern")
@@ -115,9 +133,27 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_embedding_near_dedup, op7_url_filters, op8_simhash_near_dedup)}
+    found = (
+        op1_mixing,
+        op2_embedding_near_dedup,
+        op5_license_scans,
+        op6_warc,
+        op7_url_filters,
+        op8_simhash_near_dedup,
+        op9_nearest_neighbours,
+        op10_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op2_embedding_near_dedup": OP2, "op7_url_filters": OP7}
+    return {"op1_mixing": OP1, "op2_embedding_near_dedup": OP2, "op6_warc": OP6, "op7_url_filters": OP7}
