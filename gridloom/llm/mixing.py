@@ -41,7 +41,7 @@ def mix(
     source_weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     share: float = 1.5,
     cap: float = 2.0,
-    quality: str | None = None,
+    quality: DataFrame | None = None,
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -52,7 +52,7 @@ def mix(
     Sources in code-point order (null last) take source_weights in turn. A source's complete epochs come
     first; the rest of its target goes to rows by ascending exponential key, -ln(u) / quality, and the row
     at the end of the budget gives the words that are left (part). u is a hash of seed and doc_id, so
-    reruns agree.
+    reruns agree. quality: one row (doc_id, quality) for a document at most; others weigh 1.
 
     Null text or id: size 0, or the key of the empty id. Null or non-positive quality: weight 1. Ties
     are ordered by doc_id, then size. Repeated rows each count. An empty table gives no rows; a source
@@ -60,12 +60,11 @@ def mix(
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
-    q = F.col(quality).cast("double") if quality else F.lit(1.0)
-    q = F.when(q > 0, q).otherwise(F.lit(1.0))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), (-F.log(u) / q).alias("key")
-    )
-    rows = written(rows, "mix-rows")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), (-F.log(u)).alias("key"))
+    if quality is not None:  # after the texts are gone, so the join moves slim rows
+        rows = rows.join(quality.select(F.col("doc_id").alias("_id"), "quality"), F.col("doc_id") == F.col("_id"), "left")
+        rows = rows.withColumn("key", F.col("key") / F.when(F.col("quality") > 0, F.col("quality")).otherwise(F.lit(1.0)))
+    rows = written(rows.select("doc_id", "source", "size", "key"), "mix-rows")
     per = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     per = range_rank(per, [F.col("source").asc_nulls_last()])
     turn = F.element_at(F.array(*map(F.lit, source_weights)), (F.pmod(F.col("rank") - 1, F.lit(len(source_weights))) + 1).cast("int"))
@@ -92,8 +91,7 @@ def mix(
     return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", "taken")
 
 
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with quality: 2 where labels mark the document good, 0.5 where bad, else 1; disagreeing labels average."""
-    mean = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("_q"))
-    joined = docs.join(mean.withColumnRenamed("doc_id", "_doc_id"), F.col("doc_id") == F.col("_doc_id"), "left")
-    return joined.withColumn("quality", F.coalesce(F.lit(0.5) + F.lit(1.5) * F.col("_q"), F.lit(1.0))).drop("_q", "_doc_id")
+def quality_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): 2 where labels mark the document good, 0.5 where bad; disagreeing labels average."""
+    known = labels.where("doc_id is not null and quality is not null")
+    return known.groupBy("doc_id").agg((F.lit(0.5) + F.lit(1.5) * F.avg("quality")).alias("quality"))
