@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, embed_dedup, licenses, mixing, packing, simhash, urlfilter, warc
+from gridloom.llm import ann, embed_dedup, licenses, mixing, packing, simhash, toxicity, urlfilter, warc
 from gridloom.llm.common import table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.with_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, quality="quality").select("doc_id", "size", "source_size", "target", "taken")
+    quality = mixing.quality_of(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), quality=quality).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP1 = r"""
@@ -67,6 +67,11 @@ from embeddings e left join n on n.a = e.vec_id left join c on c.a = e.vec_id
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -145,6 +150,7 @@ def queries() -> dict:
     found = (
         op1_mixing,
         op2_embedding_near_dedup,
+        op3_toxicity,
         op5_license_scans,
         op6_warc,
         op7_url_filters,
