@@ -95,3 +95,23 @@ def quality_of(labels: DataFrame) -> DataFrame:
     """(doc_id, quality): 2 where labels mark the document good, 0.5 where bad; disagreeing labels average."""
     known = labels.where("doc_id is not null and quality is not null")
     return known.groupBy("doc_id").agg((F.lit(0.5) + F.lit(1.5) * F.avg("quality")).alias("quality"))
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """docs as mix() deals them: each row in as many whole copies as its epochs say, one more where half of it or more is in its part.
+
+    Columns stay as they are. Rows of a source without words stay once. Rows that agree in id, source and size
+    share their copies evenly. Null, empty and repeated rows: see mix(). Keywords: those of mix().
+    """
+    keys = ["_mix_id", "_mix_source", "_mix_size"]
+    extra = ((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size"))).cast("long")
+    dealt = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    dealt = dealt.select(F.col("doc_id").alias("_i"), F.col("source").alias("_c"), F.col("size").alias("_z"), (F.col("epochs") + extra).alias("copies"))
+    dealt = dealt.groupBy("_i", "_c", "_z").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    mine = docs.withColumns({"_mix_id": F.col(id_col), "_mix_source": F.col(source_col), "_mix_size": words(F.col(text_col))})
+    same = F.col("_mix_id").eqNullSafe(F.col("_i")) & F.col("_mix_source").eqNullSafe(F.col("_c")) & (F.col("_mix_size") == F.col("_z"))
+    mine = mine.join(dealt, same)
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_turn") <= F.col("_copies") % F.col("_rows")).cast("long")
+    mine = mine.withColumn("_turn", F.when(F.col("_rows") > 1, turn).otherwise(1)).withColumn("_n", share.cast("int")).where("_n > 0")
+    return mine.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)

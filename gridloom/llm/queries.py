@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, embed_dedup, licenses, mixing, packing, simhash, toxicity, urlfilter, warc
+from gridloom.llm import ann, embed_dedup, licenses, mixing, packing, pii, simhash, toxicity, urlfilter, warc
 from gridloom.llm.common import table
 
 
@@ -72,6 +72,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -151,6 +156,7 @@ def queries() -> dict:
         op1_mixing,
         op2_embedding_near_dedup,
         op3_toxicity,
+        op4_pii,
         op5_license_scans,
         op6_warc,
         op7_url_filters,
