@@ -47,7 +47,7 @@ def parse_reclass(lines: DataFrame) -> DataFrame:
     form = r"^([0-9]+)\s*(.*)-([0-9,\s]+)$"
     rows = lines.where(v.rlike(form))
     part = lambda k: F.regexp_extract(v, form, k)
-    codes = F.transform(F.split(part(3), ","), lambda c: F.trim(c).cast("int"))
+    codes = F.transform(F.split(part(3), ","), lambda c: F.trim(c).try_cast("int"))
     return rows.select(part(1).cast("int").alias("category"), F.trim(part(2)).alias("name"), codes.alias("codes"))
 
 
