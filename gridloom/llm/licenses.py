@@ -76,7 +76,7 @@ class Scanner:
         spans = sorted(set(self._fuzzy(line)))
         starts = self._word_numbers(line, [at for at, _ in base])
         ends = self._word_numbers(line, [x for a, b, *_ in spans for x in (a - 1, b - 1)])
-        found = [{"first_word": ends[a - 1], "last_word": ends[b - 1], "label": label, "notice": notice, "errors": e} for a, b, label, notice, e in spans]
+        found = [{"first_word": ends[a - 1], "last_word": ends[b - 1] - 1, "label": label, "notice": notice, "errors": e} for a, b, label, notice, e in spans]
         labels = {label for _, label in base}
         return {
             "n_words": len(words),

@@ -28,6 +28,8 @@ DIGIT = re.compile(r"[0-9]")
 #: Characters of a window, and from one window's start to the next.
 WINDOW, STRIDE = 128, 64
 CHARS, CHAR_SIZE, SIZE = 160, 10, 12
+#: Characters of the text around made-up spans in training.
+PIECE = 64
 #: Tags: outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 #: Least mean probability of an added span's characters.
@@ -104,9 +106,16 @@ class Tagger:
         rng = np.random.default_rng(seed)
         b = np.zeros((2, 1, 4 * SIZE), np.float32)
         b[..., SIZE : 2 * SIZE] = 1
+        # characters of one class start alike; tags start with the moves that spans allow
+        kind = np.array([0 if chr(c).isdigit() and c < 128 else 1 if chr(c).islower() and c < 128 else 2 if chr(c).isupper() and c < 128 else 3 if c >= 128 else 4 + c for c in range(CHARS)])
+        chars = normal(rng, CHARS + 4, CHAR_SIZE, scale=0.8)[kind] + normal(rng, CHARS, CHAR_SIZE, scale=0.1)
+        trans, start, bias = (np.zeros(n, np.float32) for n in ((TAGS, TAGS), TAGS, TAGS))
+        trans[:, 2::2], start[2::2], bias[0] = -4, -4, 1
+        for k in range(1, TAGS, 2):
+            trans[k : k + 2, k + 1] = 1
         return cls({
-            "chars": normal(rng, CHARS, CHAR_SIZE, scale=0.5), "w": normal(rng, 2, CHAR_SIZE, 4 * SIZE), "b": b, "u": normal(rng, 2, SIZE, 4 * SIZE),
-            "out": normal(rng, 2 * SIZE, TAGS), "bias": np.zeros(TAGS, np.float32), "trans": np.zeros((TAGS, TAGS), np.float32), "start": np.zeros(TAGS, np.float32),
+            "chars": chars, "w": normal(rng, 2, CHAR_SIZE, 4 * SIZE), "b": b, "u": normal(rng, 2, SIZE, 4 * SIZE),
+            "out": normal(rng, 2 * SIZE, TAGS), "bias": bias, "trans": trans, "start": start,
         })
 
     def emit(self, ids: np.ndarray, lengths: np.ndarray, keep: bool = False):
@@ -181,13 +190,13 @@ def made_up(rng: np.random.Generator) -> tuple[int | None, str]:
     return None, pick(digits(4), f"{digits(1)}.{digits(2)}", f"{digits(3)},{digits(3)}", "password=" + "".join(rng.choice(list("0123456789abcdef"), 18)), f"{digits(4)}-{digits(2)}-{digits(2)}", f"Version {digits(1)}.{digits(1)}.", f"@{word(6)}", digits(rng.integers(5, 8)), f"http://{word(6)}.com/{digits(5)}")
 
 
-def train(pieces: list[str], seed: int = 4, epochs: int = 10, batch: int = 64, rate: float = 0.01, least: int = 1200) -> Tagger:
+def train(pieces: list[str], seed: int = 4, epochs: int = 12, batch: int = 40, rate: float = 0.03, least: int = 1200) -> Tagger:
     """A tagger from windows of text: their base spans are labelled, and made-up spans are put between their words."""
     rng = np.random.default_rng(seed)
     plain = [p for p in pieces if p.strip()] or ["a few words of plain text without any numbers in them"]
     rows = []
     for k in range(max(least, len(plain))):
-        text, spans = plain[k % len(plain)][:WINDOW], []
+        text, spans = plain[k % len(plain)][:PIECE], []
         for _ in range(int(rng.integers(0, 3))):
             kind, new = made_up(rng)
             gaps = [i for i, c in enumerate(text) if c == " " and not any(a <= i < b for _, a, b in spans)]
@@ -198,8 +207,7 @@ def train(pieces: list[str], seed: int = 4, epochs: int = 10, batch: int = 64, r
             if kind is not None:
                 spans.append((kind, at + 1, at + len(new.rstrip())))
         spans += [s for s in base_spans(text) if not any(s[1] < b and a < s[2] for _, a, b in spans)]
-        text = text[: WINDOW + 64]
-        rows.append((char_ids(text), tag_line(len(text), [s for s in spans if s[1] < len(text)])[: len(text)]))
+        rows.append((char_ids(text), tag_line(len(text), spans)))
     rows.sort(key=lambda r: len(r[0]))
     tagger = Tagger.fresh(seed)
     adam = Adam(tagger.p, rate)
@@ -286,17 +294,17 @@ def joined(spans: list[Span]) -> str:
 
 def sample(docs: DataFrame, n_docs: int, seed: int, id_col: str, text_col: str) -> list[str]:
     """Windows of text from n_docs documents at most, the smallest id hashes among those with a digit or an @: four of each."""
-    able = docs.where(F.col(text_col).rlike("[0-9@]") & F.col(id_col).isNotNull())
-    ids = able.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, F.lit(seed)).alias("turn")).orderBy("turn", "_id").limit(n_docs)
-    rows = able.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col("_id")).select("turn", F.col(text_col).alias("text"))
+    able = docs.where(F.col(text_col).rlike("[0-9@]") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_own"), F.col(text_col).alias("text"))
+    ids = able.select(F.col("_own").alias("_id"), F.xxhash64("_own", F.lit(seed)).alias("turn")).orderBy("turn", "_id").limit(n_docs)
+    rows = able.join(F.broadcast(ids.distinct()), F.col("_own") == F.col("_id")).select("turn", "text")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
             for turn, text in zip(x["turn"], x["text"]):
                 at = [m.start() for m in TRIGGER.finditer(text)]
-                starts = [max(0, at[0] - 60), max(0, at[len(at) // 2] - 30), max(0, at[-1] - 90), len(text) // 2]
-                out += [(turn, k, text[s : s + WINDOW]) for k, s in enumerate(starts)]
+                starts = [max(0, at[0] - 30), max(0, at[len(at) // 2] - 15), max(0, at[-1] - 45), len(text) // 2]
+                out += [(turn, k, text[s : s + PIECE]) for k, s in enumerate(starts)]
             yield pd.DataFrame(out, columns=["turn", "k", "piece"])
 
     found = rows.mapInPandas(cut, "turn long, k long, piece string").toPandas()

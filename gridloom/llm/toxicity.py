@@ -244,8 +244,8 @@ def sample(docs: DataFrame, labels: DataFrame, each: int, chars: int, more: int,
     # more ids than needed, for those with long texts; a bounded table, so a safe broadcast
     picked = [known.where(F.col("toxic") == y).orderBy("turn", id_col).limit(3 * each + more) for y in (0, 1)]
     picked = picked[0].union(picked[1]).withColumnRenamed(id_col, "_id")
-    rows = docs.where(F.length(text_col) <= 8 * chars).join(F.broadcast(picked), F.col(id_col) == F.col("_id"))
-    rows = rows.select("toxic", "turn", "_id", F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).toPandas()
+    rows = docs.where(F.length(text_col) <= 8 * chars).select(F.col(id_col).alias("_own"), F.col(text_col).alias("text"))
+    rows = rows.join(F.broadcast(picked), F.col("_own") == F.col("_id")).select("toxic", "turn", "_id", "text", F.xxhash64("text").alias("h")).toPandas()
     rows = rows.sort_values(["turn", "_id", "h"], ignore_index=True)
     short = rows[rows["text"].str.len() <= chars]
     first = pd.concat([short[short["toxic"] == y].head(each) for y in (0, 1)]).sort_index()
