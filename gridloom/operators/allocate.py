@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.operators.ranks import grouped_rank
+
 
 def target_order(quotas: DataFrame) -> DataFrame:
     """(c0, c1, q, k): an origin's targets by ascending quota, ties by class; the diagonal has none."""
@@ -17,19 +19,22 @@ def allocate(cells: DataFrame, quotas: DataFrame, share: float, classes: int = 6
     """cells after one iteration. cells: (cell_id, c0, cur, moved, prob); quotas: (c0, c1, q).
 
     Each target takes the unmoved cells of its origin with the highest probability, ties by cell_id: ceil(share * q) of them, at most q,
-    or all that are left. A cell has one origin, so origins do not meet: round k serves the k-th target of all origins at once.
+    or all that are left. A cell has one origin, so origins do not meet: round k serves the k-th target of all origins at once. Ranks are
+    dealt out by ranges, so an origin with most of the cells is no single task.
     """
-    columns = cells.columns
-    order = target_order(quotas).withColumn("take", F.least(F.ceil(F.col("q") * share), F.col("q"))).where("take > 0")
+    order = target_order(quotas).withColumn("take", F.least(F.ceil(F.col("q") * share), F.col("q"))).where("take > 0").checkpoint()
+    cells, taken = cells.checkpoint(), None  # five rounds read it
     for k in range(1, classes):
         mine = F.broadcast(order.where(F.col("k") == k).select(F.col("c0").alias("_c0"), F.col("c1").alias("_c1"), "take"))  # classes rows at most
-        rows = cells.join(mine, F.col("c0") == F.col("_c0"), "left")
-        p = F.when(~F.col("moved") & F.col("_c1").isNotNull(), F.get("prob", F.col("_c1") - 1))
-        rank = F.row_number().over(Window.partitionBy("c0", p.isNull()).orderBy(F.desc("_p"), "cell_id"))
-        rows = rows.withColumn("_p", p).withColumn("_rank", F.when(F.col("_p").isNotNull(), rank))
-        hit = F.coalesce(F.col("_rank") <= F.col("take"), F.lit(False))
-        cells = rows.withColumn("cur", F.when(hit, F.col("_c1")).otherwise(F.col("cur"))).withColumn("moved", F.col("moved") | hit).select(*columns)
-    return cells
+        rows = cells.where("not moved").join(mine, F.col("c0") == F.col("_c0"))
+        rows = rows.select("cell_id", "c0", "_c1", "take", F.get("prob", F.col("_c1") - 1).alias("_p"))
+        if taken is not None:
+            rows = rows.join(taken, "cell_id", "left_anti")
+        ranked = grouped_rank(rows, "c0", [F.desc("_p"), F.col("cell_id")], "_rank")
+        hit = ranked.where("_rank <= take").select("cell_id", "_c1")
+        taken = hit if taken is None else taken.union(hit)
+    out = cells.join(taken, "cell_id", "left").withColumn("cur", F.coalesce("_c1", "cur"))
+    return out.withColumn("moved", F.col("moved") | F.col("_c1").isNotNull()).select(*cells.columns)
 
 
 def left_over(before: DataFrame, after: DataFrame, quotas: DataFrame) -> DataFrame:
