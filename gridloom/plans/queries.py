@@ -631,3 +631,84 @@ def simulate_step(spark, sf):
     cells = m.select("cell_id", F.col("c0").alias("cat"))
     dem = derived.elevation(spark, sf).na.fill(0.0)
     return simulate.simulate_step(cells, GRID, model, _weights(spark, sf), markov_absorbing(spark, sf), names=names, stored=dem, recompute=True)
+
+
+# Smaller operators
+
+
+@query("""select t, count(*) filter (where cat = 1) by_category, count(*) filter (where code = 3) by_code, round(avg((cat = 1)::int), 6) share
+from (select t, code, coalesce(cat, 0) cat from codes left join lut using (code)) group by 1""")
+def forest_two_ways(spark, sf):
+    one = lambda c: F.sum(c.cast("long"))
+    out = reclass_grid(spark, sf).groupBy("t").agg(one(F.col("cat") == 1).alias("by_category"), one(F.col("code") == 3).alias("by_code"), F.avg((F.col("cat") == 1).cast("double")).alias("share"))
+    return rounded(out, "share")
+
+
+@query("""select year, round(avg((v is not null)::int) * 100, 6) valid_pct, min(v) min, round(avg(v), 4) mean, max(v) max from prices
+where cell_id // 50 between 16 and 31 and cell_id % 50 between 16 and 31 group by 1""")
+def probe_tile(spark, sf):
+    tile = GRID.row().between(16, 31) & GRID.column().between(16, 31)
+    out = derived.prices(spark, sf).where(tile).groupBy("year").agg((F.avg(F.col("v").isNotNull().cast("double")) * 100).alias("valid_pct"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"))
+    return rounded(rounded(out, "valid_pct"), "mean", digits=4)
+
+
+@query("""select p_partkey, upper(trim(replace(' ' || p_type || chr(10), chr(10), ' '))) nome, coalesce(p_brand, '') like 'Brand#1%' or coalesce(p_brand, '') like 'Brand#2%' strict,
+regexp_extract(p_brand, '([0-9]+)$', 1) code from part""", "")
+def clean_names(spark, sf):
+    p = table(spark, sf, "part")
+    raw = F.concat(F.lit(" "), F.col("p_type"), F.lit("\n"))
+    return p.select("p_partkey", scalar.clean_name(raw).alias("nome"), scalar.starts_with_any(F.col("p_brand"), ["Brand#1", "Brand#2"]).alias("strict"), F.regexp_extract("p_brand", "([0-9]+)$", 1).alias("code"))
+
+
+@query("""select o_orderkey, case when r between 0 and 39 and c between 0 and 49 then r * 50 + c end::bigint cell_id from (
+select o_orderkey, floor((1200 - o_orderkey % 1300) / 30)::bigint r, floor((o_custkey % 1600 - 30) / 30)::bigint c from orders)""", "")
+def world_to_cell(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", GRID.cell_at((F.col("o_custkey") % 1600 - 30).cast("double"), (F.col("o_orderkey") % 1300).cast("double")).alias("cell_id"))
+
+
+@query("select cell_id, (c + 0.5) * 30 x, 1200 - (r + 0.5) * 30 y from cells where cell_id % 7 = 0")
+def cell_centres(spark, sf):
+    path = GRID.cells(spark).where("cell_id % 7 = 0").select("cell_id", vector.path_points(F.array("cell_id", "cell_id"), GRID)[0].alias("p"))
+    return path.select("cell_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
+@query("select uc_id, 7.2::double area_ha from boxes")
+def polygon_areas(spark, sf):
+    b = derived.boxes(spark, sf)
+    return b.select("uc_id", F.round(vector.area(F.col("ring")) / 10_000, 6).alias("area_ha"))
+
+
+@query("select cell_id, uc_id from nodes")
+def forest_nodes(spark, sf):
+    cells = derived.maps(spark, sf).select("cell_id", F.col("c1").alias("cat"))
+    return costpath.nodes(cells, derived.owners(spark, sf), GRID.cell_ha, 0.2)
+
+
+@query(LINKS + """select uc_a::int uc_a, uc_b, coalesce(string_agg(distinct uc_id::varchar, ',' order by uc_id::varchar) filter (where uc_id not in (uc_a, uc_b)), '') crosses
+from paths left join owners using (cell_id) group by 1, 2""")
+def crossed_areas(spark, sf):
+    path, _ = _paths(spark, sf)
+    paths = path.groupBy("uc_a", "uc_b").agg(F.sort_array(F.collect_list("cell_id")).alias("path")).withColumn("cost", F.lit(0.0))
+    return costpath.links(paths, derived.owners(spark, sf), GRID.res).select("uc_a", "uc_b", "crosses")
+
+
+@query("select event_id, json_extract(props, '$.k')::int k from events", "")
+def json_field(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("""select event_type, count(*) n, round(min(value), 4) min, round(max(value), 4) max, min(value) < 0 or max(value) > 60 extreme from events group by 1""", "")
+def extreme_values(spark, sf):
+    e = table(spark, sf, "events").withColumnRenamed("value", "v")
+    out = temporal.quantile_ranges(e, by=("event_type",))
+    found = temporal.extreme(out, 0, 60).select("event_type", F.lit(True).alias("extreme"))
+    out = out.join(found, "event_type", "left").select("event_type", "n", "min", "max", F.coalesce("extreme", F.lit(False)).alias("extreme"))
+    return rounded(out, "min", "max", digits=4)
+
+
+@query("select count(*) n_rows, 0 n_outside, 0 n_repeated, count(*) filter (where c0 = 0) n_sentinel from maps")
+def layer_alignment(spark, sf):
+    from gridloom.grid import layer_faults
+
+    return layer_faults(derived.maps(spark, sf).select("cell_id", F.col("c0").alias("v")), GRID, sentinel=0)
