@@ -71,14 +71,14 @@ def elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six rectangles from nations: (uc_id, nome, categoria, area_ha, protecao_integral, ring)."""
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 6")
-    k = F.col("n_nationkey").cast("int")
-    r0, c0 = k * 7 % 32, k * 13 % 40
+    """A rectangle per region, each over a corner of the next: (uc_id, nome, categoria, area_ha, protecao_integral, ring)."""
+    n = table(spark, sf_dir, "region")
+    k = F.col("r_regionkey").cast("int")
+    r0, c0 = k * 5 % 32, k * 7 % 40
     x0, x1 = c0 * 30.0, (c0 + 10) * 30.0
     y1, y0 = 1200.0 - r0 * 30.0, 1200.0 - (r0 + 8) * 30.0
     ring = F.array(*[F.struct(F.lit(a).alias("x") if not hasattr(a, "alias") else a.alias("x"), b.alias("y")) for a, b in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
-    rows = n.select((k + 1).alias("uc_id"), F.col("n_name").alias("nome"), (k % 3).cast("string").alias("categoria"), (k % 2 == 0).alias("protecao_integral"), ring.alias("ring"))
+    rows = n.select((k + 1).alias("uc_id"), F.col("r_name").alias("nome"), (k % 3).cast("string").alias("categoria"), (k % 2 == 0).alias("protecao_integral"), ring.alias("ring"))
     return rows.withColumn("area_ha", vector.area(F.col("ring")) / 10_000 + F.col("uc_id") * 0.01)
 
 
@@ -114,8 +114,8 @@ pairs as (select a.k c0, b.k c1, count(m.cell_id) n from classes a cross join cl
 matrix as (
   select c0, c1, case when c0 in (5, 6) then (c0 = c1)::int::double else n / greatest(sum(n) over (partition by c0), 1)::double end p from pairs
 ), boxes as (
-  select n_nationkey::int + 1 uc_id, n_name nome, n_nationkey * 7 % 32 r0, n_nationkey * 13 % 40 c0, n_nationkey % 2 = 0 strict,
-    7.2::double + (n_nationkey + 1) * 0.01::double area_ha from nation where n_nationkey < 6
+  select r_regionkey::int + 1 uc_id, r_name nome, r_regionkey * 5 % 32 r0, r_regionkey * 7 % 40 c0, r_regionkey % 2 = 0 strict,
+    7.2::double + (r_regionkey + 1) * 0.01::double area_ha from region
 ), inside as (select cell_id, r, c, b.* exclude (c0), b.c0 bc0 from cells join boxes b on r >= b.r0 and r < b.r0 + 8 and c >= b.c0 and c < b.c0 + 10),
 owners as (
   select cell_id, uc_id from inside qualify row_number() over (partition by cell_id order by strict desc, area_ha, uc_id desc) = 1
