@@ -92,6 +92,15 @@ def test_dense_near_copies_stay_one_component(spark, monkeypatch):
     assert all(got.get(f, f) == want[f] for f in fps)
 
 
+def test_second_fingerprints_confirm_links(spark):
+    rows = list(enumerate(texts(), 10))
+    both = {i: [int(v) for v in simhash.majorities(t, 5, 42, 2)] for i, t in rows}
+    links = [(a, b) for a in both for b in both if a < b and all((x ^ y).bit_count() <= r for x, y, r in zip(both[a], both[b], (8, 16)))]
+    assert any(both[a] != both[b] for a, b in links)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=5, radius=8, check=16).collect()
+    assert {r["id"]: r["component_id"] for r in got} == brute_components(both, links)
+
+
 def test_seed_masks_miss_no_pair():
     rng = random.Random(3)
     for n in (10, 10**6, 10**9):
