@@ -108,22 +108,26 @@ def usable(vector: str) -> Column:
 
 def _top(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> pd.DataFrame:
     """The k nearest rows of x to each row of q by exact distance, the query's own id aside; ties to the smaller id."""
-    out = []
     order = np.argsort(xid, kind="stable")
     x, xid = x[order], xid[order]
     norm = (x**2).sum(axis=1)
+    found = []
+    m = min(k + 1, len(x))  # the query's own row may be among them
     for s in range(0, len(q), 128):
-        rough = norm - 2 * q[s : s + 128] @ x.T
-        for r, row in enumerate(rough):
-            m = min(k + 1, len(row))  # the query's own row may be among them
-            edge = np.partition(row, m - 1)[m - 1]
-            scale = 1e-9 * (norm.max() + (q[s + r] ** 2).sum())
-            near = np.flatnonzero(row <= edge + scale)  # rounding and ties: all rows that may be among the first
-            near = near[xid[near] != qid[s + r]]
-            d = np.sqrt(((x[near] - q[s + r]) ** 2).sum(axis=1))
-            best = np.lexsort((xid[near], d))[:k]
-            out.append(pd.DataFrame({"query_id": qid[s + r], "vec_id": xid[near][best], "score": d[best]}))
-    return pd.concat(out, ignore_index=True)
+        part = q[s : s + 128]
+        rough = norm - 2 * part @ x.T
+        slack = 1e-9 * (norm.max() + (part**2).sum(axis=1))
+        edge = np.partition(rough, m - 1, axis=1)[:, m - 1]
+        i, j = np.nonzero(rough <= (edge + slack)[:, None])  # rounding and ties: all rows that may be among the first
+        keep = xid[j] != qid[s + i]
+        i, j = i[keep], j[keep]
+        d = np.sqrt(((x[j] - part[i]) ** 2).sum(axis=1))
+        best = np.lexsort((xid[j], d, i))
+        i, j, d = i[best], j[best], d[best]
+        first = np.searchsorted(i, i, "left")
+        keep = np.arange(len(i)) - first < k
+        found.append((qid[s + i[keep]], xid[j[keep]], d[keep]))
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
 
 
 def _merged(partial: DataFrame, k: int) -> DataFrame:
@@ -147,8 +151,8 @@ def search(
     *,
     k: int = 10,
     every: int = 100,
-    branches: int = 12,
-    leaf_rows: int = 96,
+    branches: int = 8,
+    leaf_rows: int = 400,
     sample_rows: int = 16_384,
     calibration: int = 64,
     recall: float = 0.97,
