@@ -1,11 +1,11 @@
-"""Corpus pipeline: toxicity, SimHash near-dedup, personal data, mixing to target weights, packing."""
+"""Corpus pipeline: toxicity, near-dedup by shingles, personal data, mixing to target weights, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, packing, pii, simhash, toxicity
+from gridloom.llm import jaccard, mixing, packing, pii, toxicity
 from gridloom.llm.common import table, written
 
 
@@ -15,12 +15,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, on five-word shingles.
+    """One document of each group of near duplicates: five-word Jaccard similarity of 0.8 or more, exactly.
 
-    Pairs of a Jaccard similarity of 0.8 differ in about ten of 64 bits; eight bits, with 16 of a second fingerprint, hold
-    most pairs above 0.9 and few below 0.8.
+    64-bit SimHash cannot say this: pairs at 0.8 differ in ten bits on average and in sixteen at times, as pairs far below do.
     """
-    return simhash.keep_first(docs, width=5, radius=8, check=16)
+    return jaccard.keep_first(docs, width=5)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +46,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the networks nor the fingerprints' components; tests hold each stage against brute force.
+#: SQL can express neither the networks nor the near duplicates' components; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,247 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, at 4/5 or more."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from gridloom.llm.common import components, salted_join, written
+
+#: Texts of the sample from which frequent shingles are known, and how many of these are kept.
+SAMPLE, FREQUENT = 10_000, 100_000
+#: Neighbours in the order of a shingle's group that the first round compares; larger groups go to the second.
+NEAR = 8
+#: Rows of one comparison tile.
+TILE = 2048
+#: Bytes of the parity sketch: of all sets, and of large ones at most.
+SKETCH, WIDE = 64, 4096
+#: Slots of the bit map of wanted texts.
+SLOTS = 1 << 24
+
+
+def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word shingles (A-Z lower-cased; a shorter text is one)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    last = ends[min(width, len(words)) - 1 :].tolist()
+    first = [0, *(ends[: len(last) - 1] + 1).tolist()]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[i:j], seed) for i, j in zip(first, last)), np.uint64, len(last)))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of two sets is 4/5 or more: 9 x common >= 4 x (sizes' sum). Empty sets are alike."""
+    n, m = len(a), len(b)
+    return 5 * min(n, m) >= 4 * max(n, m) and 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (n + m)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's slots, a power of two of them and two an element if possible: two sets' sketches, folded to
+    one size, differ in no more bits than the sets in elements."""
+    size = SKETCH
+    while 4 * size < len(s) and size < WIDE:
+        size *= 2
+    return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % (8 * size), minlength=8 * size) & 1).astype(np.uint8).tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def _plausible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose sketches allow the similarity: sets of n and m shingles differ in (n + m) / 9 at most."""
+    for x in batches:
+        keep = []
+        for n, m, a, b in zip(x["n_a"], x["n_b"], x["sketch_a"], x["sketch_b"]):
+            size = min(len(a), len(b))
+            keep.append(9 * int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum(dtype=np.int64)) <= n + m)
+        yield x.loc[np.array(keep, bool), ["a", "b"]]
+
+
+def _frequent(docs: DataFrame, text: Column, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Shingles of several sampled texts, sorted, with their counts, and the rows a sampled text stands for. Only an order follows."""
+    n = docs.count()
+    share = max(1, n // SAMPLE)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            found = [shingles(t, width, seed) for t in x["text"]]
+            yield pd.DataFrame({"s": np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)})
+
+    some = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(share)) == 0).distinct()
+    top = some.mapInPandas(run, "s long").groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT).toPandas()
+    top = top.assign(s=top["s"].to_numpy(np.int64).view(np.uint64)).sort_values("s")
+    return top["s"].to_numpy(np.uint64), top["count"].to_numpy(np.int64), share
+
+
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First round: sorted rows are paired with the next ones of their group; hot is a shingle with more, or in tiles (t >= 0)."""
+    held = pd.DataFrame()
+    for x in batches:
+        old = len(held)
+        x = pd.concat([held, x], ignore_index=True)
+        s, t, n, node = (x[c].to_numpy() for c in ("s", "t", "n", "node"))
+        many = t >= 0
+        out_a, out_b = [], []
+        hot = [s[many]]
+        for d in range(1, NEAR + 1):
+            i = np.arange(max(0, old - d), len(x) - d) if len(x) > d else np.empty(0, np.int64)
+            i = i[(s[i] == s[i + d]) & (t[i] == t[i + d])]
+            if d == NEAR:
+                hot.append(s[i])
+                break
+            i = i[5 * np.minimum(n[i], n[i + d]) >= 4 * np.maximum(n[i], n[i + d])]
+            if d > 1:  # a frequent shingle's group is only chained; the second round has it whole
+                i = i[~many[i]]
+            out_a.append(np.minimum(node[i], node[i + d]))
+            out_b.append(np.maximum(node[i], node[i + d]))
+        found = pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "hot": False}).drop_duplicates()
+        found = found[found["a"] != found["b"]]
+        top = np.unique(np.concatenate(hot))
+        yield pd.concat([found, pd.DataFrame({"a": top, "b": top, "hot": True})])
+        held = x.iloc[-NEAR:]
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, key: Column, text: Column, width: int, seed: int, name: str) -> DataFrame:
+    """The pairs of nodes (a, b) whose texts are similar. Only texts of some pair are moved."""
+    wide = nodes.select("node", "n", "sketch")
+    pairs = pairs.join(wide.toDF("a", "n_a", "sketch_a"), "a").join(wide.toDF("b", "n_b", "sketch_b"), "b")
+    pairs = written(pairs.mapInPandas(_plausible, "a long, b long"), f"{name}-plausible")
+    want = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    want = written(want.join(nodes.select("node", "k"), "node"), f"{name}-wanted")
+    bits = np.zeros(SLOTS, bool)
+    bits[want.select((F.col("k").bitwiseAND(SLOTS - 1)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    @F.pandas_udf("boolean")
+    def wanted(k: pd.Series) -> pd.Series:
+        slot = k.to_numpy(np.int64) & (SLOTS - 1)
+        return pd.Series((held.value[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool))
+
+    texts = docs.select(key.alias("k"), text.alias("text")).where(wanted("k")).join(want, "k")
+    texts = written(texts.select("node", "text").dropDuplicates(["node"]), f"{name}-texts")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            sets: dict[int, np.ndarray] = {}
+            keep = []
+            for a, b, ta, tb in zip(x["a"], x["b"], x["text_a"], x["text_b"]):
+                for i, t in ((a, ta), (b, tb)):
+                    if i not in sets:
+                        sets[i] = shingles(t, width, seed)
+                keep.append(similar(sets[a], sets[b]))
+            yield x.loc[keep, ["a", "b"]]
+
+    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return written(both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"), f"{name}-links")
+
+
+def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Second round: pairs of one tile pair that are not yet connected, as far as sizes and sketches allow them."""
+    held = pd.DataFrame()
+    for x in batches:
+        x = pd.concat([held, x], ignore_index=True)
+        new = np.r_[True, np.any([x[c].to_numpy()[1:] != x[c].to_numpy()[:-1] for c in ("s", "ta", "tb")], axis=0)] if len(x) else np.empty(0, bool)
+        starts = np.flatnonzero(new)
+        cut = starts[-1] if len(starts) else 0
+        held = x.iloc[cut:]
+        for i, j in zip(starts[:-1], starts[1:]):
+            yield from _tile(x.iloc[i:j])
+    if len(held):
+        yield from _tile(held)
+
+
+def _tile(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    alone = x["ta"].iloc[0] == x["tb"].iloc[0]
+    first = x["t"] == x["ta"]
+    p, q = (x, x) if alone else (x[first], x[~first])
+    if not len(p) or not len(q) or x["root"].nunique() < 2:
+        return
+    q = q.sort_values("n")
+    bits = [np.stack([folded(v, SKETCH) for v in z["sketch"]]) for z in (p, q)]
+    n, m = p["n"].to_numpy(np.int64), q["n"].to_numpy(np.int64)
+    low, high = np.searchsorted(m, -(-4 * n // 5), "left"), np.searchsorted(m, 5 * n // 4, "right")
+    (pa, pr), (qa, qr) = ((z["node"].to_numpy(), z["root"].to_numpy()) for z in (p, q))
+    for k in range(len(p)):
+        j = np.arange(low[k], high[k])
+        j = j[(qr[j] != pr[k]) & ((qa[j] > pa[k]) | (not alone))]
+        j = j[9 * np.bitwise_count(bits[1][j] ^ bits[0][k]).sum(axis=1, dtype=np.int64) <= n[k] + m[j]]
+        if len(j):
+            yield pd.DataFrame({"a": np.minimum(pa[k], qa[j]), "b": np.maximum(pa[k], qa[j])})
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42) -> DataFrame:
+    """docs with one row of each group of near duplicates: that of the smallest id (nulls last), then row hash.
+
+    Groups are the connected components of the texts whose sets of `width`-word shingles have a Jaccard similarity of
+    4/5 or more. No pair is missed and none below is linked: in whatever order, two such sets of n and m shingles
+    share one among the first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1 (prefix filter), so groups of equal prefix
+    shingles hold every pair; rare shingles come first. Texts of equal sets are one node. A first round compares small
+    groups whole and chains large ones; a second compares what large groups still hold unconnected, in tiles. Every link
+    is confirmed on the texts' whole sets.
+
+    Null and empty texts, and those without words, are alike. Columns stay as they are; of equal (id, text) rows one
+    stays. An empty table gives no rows.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), text)
+    often, count, share = _frequent(docs, text, width, seed)
+    known = docs.sparkSession.sparkContext.broadcast((often, count))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often, count = known.value
+        for x in batches:
+            out = []
+            for t in x["text"]:
+                s = shingles(t, width, seed)
+                c = np.zeros(len(s), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                    c = np.where(often[at] == s, count[at], 0)
+                head = np.lexsort((s, c))[: len(s) - (4 * len(s) + 4) // 5 + 1]
+                tiles = np.maximum(1, c[head] * share // (TILE // 4))
+                node = xxhash.xxh64_intdigest(s.tobytes(), seed)
+                out.append((np.uint64(node).astype(np.int64), len(s), sketch(s), s[head].view(np.int64), tiles))
+            yield pd.concat([x[["id", "k"]], pd.DataFrame(out, columns=["node", "n", "sketch", "head", "tiles"], index=x.index)], axis=1)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("k"), text.alias("text"))
+    rows = written(rows.mapInPandas(run, f"id {kind}, k long, node long, n int, sketch binary, head array<long>, tiles array<int>"), "jaccard-rows")
+    first = F.min(F.struct(F.col("id").isNull().alias("void"), "id", "k")).alias("first")
+    nodes = written(rows.groupBy("node").agg(first, F.min("n").alias("n"), F.min("sketch").alias("sketch")).withColumn("k", F.col("first.k")), "jaccard-nodes")
+    # Of the rows of a node only its first gives prefixes.
+    ahead = rows.join(nodes.select("k", "node"), ["k", "node"], "left_semi").select("node", "n", F.explode(F.arrays_zip("head", "tiles")).alias("z"))
+    ahead = ahead.select("node", "n", F.col("z.head").alias("s"), F.col("z.tiles").alias("tiles"))
+    turn = F.xxhash64("node", "s")
+    dealt = ahead.withColumn("t", F.when(F.col("tiles") > 1, F.pmod(turn, F.col("tiles")).cast("int")).otherwise(-1)).select("s", "t", "node", "n")
+    found = dealt.repartition("s", "t").sortWithinPartitions("s", "t", turn).mapInPandas(_pairs, "a long, b long, hot boolean")
+    found = written(found.distinct(), "jaccard-pairs")
+    links = _confirmed(docs, found.where("not hot").select("a", "b"), nodes, key, text, width, seed, "jaccard-first")
+    hot = found.where("hot").select(F.col("a").alias("s"))
+    if hot.limit(1).count():
+        whole = salted_join(ahead.select("node", "s"), hot, ["s"], "node").distinct()
+        whole = written(whole, "jaccard-hot")
+        size = whole.groupBy("s").agg(F.ceil(F.count("*") / TILE).cast("int").alias("of"))
+        reach = components(links)
+        named = nodes.join(reach, "node", "left").select("node", "n", "sketch", F.coalesce("component", "node").alias("root"))
+        # A group that the first round has connected leaves nothing to compare.
+        named = written(named, "jaccard-named")
+        slim = whole.join(named.select("node", "root"), "node")
+        open_ = slim.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("s").join(size, "s")
+        r = salted_join(whole, written(open_, "jaccard-open"), ["s"], "node").join(named, "node")
+        r = r.withColumn("t", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+        r = r.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+        r = r.select("s", "node", "n", "sketch", "root", "t", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
+        more = r.repartition("s", "ta", "tb").sortWithinPartitions("s", "ta", "tb").mapInPandas(_tiles, "a long, b long")
+        more = written(more.distinct().join(found.where("not hot").select("a", "b"), ["a", "b"], "left_anti"), "jaccard-more")
+        links = links.union(_confirmed(docs, more, nodes, key, text, width, seed, "jaccard-second"))
+    reach = components(links)
+    group = nodes.join(reach, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
+    return docs.withColumn("_key", key).join(group.select(F.col("first.k").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

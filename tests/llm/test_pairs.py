@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, common, embed_dedup, simhash
+from gridloom.llm import ann, common, embed_dedup, jaccard, simhash
 
 
 def brute_components(ids, linked):
@@ -119,6 +119,36 @@ def test_keep_first_keeps_one_of_each_group(spark):
     assert simhash.keep_first(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile, frequent", [(2048, 100_000), (16, 100_000), (2048, 1)])
+def test_pipeline_near_dedup_equals_brute_force_at_four_fifths(spark, monkeypatch, tile, frequent):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts, passage = [None, "", " ", "One", "ONE", "a b c d e"], [word() for _ in range(25)]
+    for k in range(60):
+        base = [word() for _ in range(rng.randint(5, 150))] + passage * (k % 3 == 0)
+        texts.append(" ".join(base))
+        for _ in range(40 if k == 1 else rng.randint(0, 4)):
+            v = list(base)
+            for _ in range(rng.randint(0, max(1, len(v) // 35))):
+                v[rng.randrange(len(v))] = word()
+            texts.append(" ".join(v * rng.randint(1, 2)).upper())
+    rng.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    like = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if like(sets[a], sets[b])]
+    want = sorted(set(brute_components(range(len(sets)), links).values()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("node", F.lit(0)).repartition(4)
+    got = pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == want
+    assert pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def vectors(seed=0):
     rng = np.random.default_rng(seed)
     centre = rng.standard_normal((12, 16))
