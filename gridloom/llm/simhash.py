@@ -213,8 +213,9 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     unrelated texts begin to meet by chance. Texts of one fingerprint stay one node.
     """
     rows = written(fingerprints(docs, id_col, text_col, width, seed, 2 if check else 1), "simhash-rows")
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("low"), F.min("more").alias("more")), "simhash-nodes")
-    reach = components(near_fingerprints(nodes.select("fp", "more"), radius, check))
+    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-nodes")
+    prints = rows.select("fp", "more").distinct() if check else nodes.select("fp")  # a link may hold for any second fingerprint of a node
+    reach = components(near_fingerprints(prints, radius, check))
     joined = written(nodes.join(reach, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root")), "simhash-roots")
     least = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     return rows, written(salted_join(joined, least, ["root"], "fp").select("fp", "component_id", "root"), "simhash-named")

@@ -101,6 +101,14 @@ def test_second_fingerprints_confirm_links(spark):
     assert {r["id"]: r["component_id"] for r in got} == brute_components(both, links)
 
 
+def test_links_of_every_second_fingerprint_count(spark, monkeypatch):
+    rows = [(1, 1, 0, 0), (2, 2, 0, 2**40 - 1), (3, 3, 3, 2**40 - 1), (4, 4, 2**50 - 1, 0)]
+    prints = spark.createDataFrame(rows, "id long, h long, fp long, more long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: prints)
+    got = simhash.near_duplicates(prints, radius=8, check=16).collect()
+    assert {r["id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_seed_masks_miss_no_pair():
     rng = random.Random(3)
     for n in (10, 10**6, 10**9):
