@@ -107,12 +107,20 @@ def usable(vector: str) -> Column:
 
 
 def _top(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of x to each row of q by exact distance, the query's own id aside; ties to the smaller id."""
+    """The k nearest rows of x to each row of q by exact distance, the query's own id aside; ties to the smaller id.
+
+    Equal results of one id, as repeated rows give, count once.
+    """
     order = np.argsort(xid, kind="stable")
     x, xid = x[order], xid[order]
+    if (xid[1:] == xid[:-1]).any():
+        same = np.unique(x, axis=0, return_inverse=True)[1].reshape(-1)
+        order = np.sort(np.unique(np.stack([xid, same]), axis=1, return_index=True)[1])
+        x, xid = x[order], xid[order]
+    often = int(np.unique(xid, return_counts=True)[1].max())
     norm = (x**2).sum(axis=1)
     found = []
-    m = min(k + 1, len(x))  # the query's own row may be among them
+    m = min((k + 1) * often, len(x))  # of k + 1 ids at least; the query's own may be among them
     for s in range(0, len(q), 128):
         part = q[s : s + 128]
         rough = norm - 2 * part @ x.T
@@ -124,6 +132,9 @@ def _top(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int)
         d = np.sqrt(((x[j] - part[i]) ** 2).sum(axis=1))
         best = np.lexsort((xid[j], d, i))
         i, j, d = i[best], j[best], d[best]
+        new = np.ones(len(i), bool)
+        new[1:] = (i[1:] != i[:-1]) | (xid[j[1:]] != xid[j[:-1]]) | (d[1:] != d[:-1])
+        i, j, d = i[new], j[new], d[new]
         first = np.searchsorted(i, i, "left")
         keep = np.arange(len(i)) - first < k
         found.append((qid[s + i[keep]], xid[j[keep]], d[keep]))
@@ -143,7 +154,7 @@ def _exact(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFr
             if len(x):
                 yield _top(q, ids, np.stack(x["v"].to_numpy()), x["vec_id"].to_numpy(), k)
 
-    return _merged(rows.mapInPandas(run, "query_id long, vec_id long, score double"), k).toPandas()
+    return _merged(rows.mapInPandas(run, "query_id long, vec_id long, score double").distinct(), k).toPandas()
 
 
 def search(

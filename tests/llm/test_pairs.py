@@ -230,6 +230,19 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_take_no_neighbours_place(spark):
+    x = np.random.default_rng(3).standard_normal((60, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(3)] + [(0, (x[0] + 1e-3 * k).tolist()) for k in range(1, 15)]
+    rows += [(7, (2 * x[0] - x[7]).tolist())]
+    found = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for r in ann.search(df, every=30).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    assert sorted(found) == [0, 30] and all(len(set(v)) == 10 for v in found.values())
+    want = sorted({(round(float(np.linalg.norm(np.array(v) - x[30])), 9), i) for i, v in rows if i != 30})[:10]
+    assert [(round(s, 9), i) for s, i in found[30]] == want
+
+
 def test_tree_visits_every_leaf_once():
     x = np.random.default_rng(0).standard_normal((900, 5))
     tree = ann.fit(x, 4, 30, 0)
