@@ -100,7 +100,7 @@ class Scanner:
         return out
 
     def _fuzzy(self, line: bytes) -> Iterator[tuple]:
-        """(start, end, label, notice, errors) of the best match in each place with a seed."""
+        """(start, end, label, notice, errors) of the best match in each place with a seed, and of those beside it."""
         reach: dict[int, list[list[int]]] = {}
         for end, (size, where) in self.automaton.iter(line.decode("latin-1")):
             for i, at in where:
@@ -113,11 +113,15 @@ class Scanner:
                 else:
                     regions.append([low, high])
         for i, regions in reach.items():
-            pattern, notice, label, _ = self.patterns[i]
+            pattern, notice, label, errors = self.patterns[i]
             for low, high in regions:
-                for m in pattern.finditer(line, low, high):
-                    if m.end() > m.start():
+                todo = [(low, high)]
+                while todo:  # the best match of a stretch, then what lies before and after it
+                    low, high = todo.pop()
+                    m = pattern.search(line, low, high)
+                    if m and m.end() > m.start():
                         yield m.start(), m.end(), label, notice, sum(m.fuzzy_counts)
+                        todo += [x for x in ((low, m.start()), (m.end(), high)) if x[1] - x[0] > len(notice) - errors]
 
 
 SPAN = "array<struct<first_word:long,last_word:long,label:string,notice:string,errors:int>>"
@@ -129,7 +133,7 @@ def scan_licenses(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, notices
     Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters, numbered from 0. n_base counts
     every place where a phrase's words stand consecutively. Notices are searched with errors: seeds of their
     pigeonhole pieces give the places, the regex library verifies them within the error bound; spans holds the
-    best matches by first and last word. score is 1 with a base phrase, else 1 - errors / length of the
+    best matches by first and last word, with those that stand before and after a better one. score is 1 with a base phrase, else 1 - errors / length of the
     closest notice, 0 without any.
 
     Null and empty texts have no words, no labels and score 0. Texts are scanned whole. Repeated rows and null ids

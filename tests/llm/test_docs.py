@@ -211,6 +211,17 @@ def test_base_licenses_equal_brute_force(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_notices_before_a_better_one_are_reported():
+    for text, want in (
+        ("gnu genral public license gnu general public license", [(0, 3, 1), (4, 7, 0)]),
+        ("all rights reserve all rights reserved", [(0, 2, 1), (3, 5, 0)]),
+        ("x all rights reserve y all rights reserved all right reserved z", [(1, 3, 1), (5, 7, 0), (8, 10, 1)]),
+    ):
+        label = "gpl" if "gnu" in text else "all-rights-reserved"
+        spans = [(s["first_word"], s["last_word"], s["errors"]) for s in licenses.Scanner().scan(text)["spans"] if s["label"] == label]
+        assert spans == want
+
+
 def test_pigeonhole_pieces_find_every_bounded_edit():
     scanner, rng = licenses.Scanner(), random.Random(7)
     for notice, label in licenses.NOTICES.items():
