@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +43,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with freed memory given back after each batch and at the end."""
+
+    def inner(batches: Iterator) -> Iterator:
+        for out in run(batches):
+            yield out
+            release()
+        release()
+
+    return inner
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt_by: str, how: str = "inner", salts: int = 8) -> DataFrame:
     """Equi-join whose left side may have hot keys: each key is dealt to `salts` tasks, the right side repeated in each.
 
@@ -64,6 +87,31 @@ def range_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     return parts.withColumn(name, (row + offset).cast("long")).drop("_part")
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows that come sorted by `by`, in frames of whole groups, and the groups' starts; a group may go over several batches."""
+    held: list[pd.DataFrame] = []
+    for x in batches:
+        if not len(x):
+            continue
+        cut = int(starts_of(x, by)[-1])  # the last group may go on
+        if held and (cut or (held[-1][by].iloc[-1] != x[by].iloc[0]).any()):
+            done = pd.concat([*held, x.iloc[:cut]], ignore_index=True)
+            yield done, starts_of(done, by)
+            held = []
+        elif cut:
+            yield x.iloc[:cut], starts_of(x.iloc[:cut], by)
+        held.append(x.iloc[cut:])
+    if held:
+        done = pd.concat(held, ignore_index=True)
+        yield done, starts_of(done, by)
+
+
+def starts_of(x: pd.DataFrame, by: list[str]) -> np.ndarray:
+    new = np.ones(len(x), bool)
+    new[1:] = np.any([x[c].to_numpy()[1:] != x[c].to_numpy()[:-1] for c in by], axis=0)
+    return np.flatnonzero(new)
+
+
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the edges (a, b) and each node's smallest connected node."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)

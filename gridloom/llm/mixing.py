@@ -10,6 +10,8 @@ from gridloom.llm.common import WORD, range_rank, written
 
 #: Rows that one prefix-sum task gets of a source, about.
 BUCKET_ROWS = 4096
+#: Copies of one row that a task makes of repeated rows.
+COPIES = 1000
 
 
 def words(text: Column) -> Column:
@@ -101,17 +103,23 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     """docs as mix() deals them: each row in as many whole copies as its epochs say, one more where half of it or more is in its part.
 
     Columns stay as they are. Rows of a source without words stay once. Rows that agree in id, source and size
-    share their copies evenly. Null, empty and repeated rows: see mix(). Keywords: those of mix().
+    share their copies evenly, by the hash of the row. Null, empty and repeated rows: see mix(). Keywords: those of mix().
     """
-    keys = ["_mix_id", "_mix_source", "_mix_size"]
     extra = ((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size"))).cast("long")
     dealt = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    dealt = dealt.select(F.col("doc_id").alias("_i"), F.col("source").alias("_c"), F.col("size").alias("_z"), (F.col("epochs") + extra).alias("copies"))
-    dealt = dealt.groupBy("_i", "_c", "_z").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    mine = docs.withColumns({"_mix_id": F.col(id_col), "_mix_source": F.col(source_col), "_mix_size": words(F.col(text_col))})
-    same = F.col("_mix_id").eqNullSafe(F.col("_i")) & F.col("_mix_source").eqNullSafe(F.col("_c")) & (F.col("_mix_size") == F.col("_z"))
+    dealt = dealt.select(F.col("doc_id").alias("_i"), F.col("source").alias("_c"), F.col("size").alias("_z"), (F.col("epochs") + extra).alias("_n"))
+    dealt = dealt.groupBy("_i", "_c", "_z").agg(F.sum("_n").alias("_copies"), F.count("*").alias("_rows"))
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")  # so no column of docs meets one of these
+    mine = docs.select(row, F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), words(F.col(text_col)).alias("_size"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_c")) & (F.col("_size") == F.col("_z"))
     mine = mine.join(dealt, same)
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_turn") <= F.col("_copies") % F.col("_rows")).cast("long")
-    mine = mine.withColumn("_turn", F.when(F.col("_rows") > 1, turn).otherwise(1)).withColumn("_n", share.cast("int")).where("_n > 0")
-    return mine.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    one = mine.where("_rows = 1 and _copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy"))
+    # Equal rows come together as one with a count; then the first ones by hash get the copies that are over.
+    many = mine.where("_rows > 1").groupBy("_row", "_i", "_c", "_z", "_copies", "_rows").agg(F.count("*").alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy("_i", "_c", "_z").orderBy(F.xxhash64(F.to_json("_row"))).rowsBetween(Window.unboundedPreceding, 0))
+    over = F.greatest(F.lit(0), F.least(F.col("_m"), F.col("_copies") % F.col("_rows") - (upto - F.col("_m"))))
+    many = many.withColumn("_n", (F.floor(F.col("_copies") / F.col("_rows")) * F.col("_m") + over).cast("long")).where("_n > 0")
+    many = many.select("_row", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES))).alias("_part"))
+    many = many.repartition(F.xxhash64("_n", "_part", F.to_json("_row")))  # many copies of a row are dealt out
+    many = many.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES), F.col("_n") - F.col("_part") * COPIES))))
+    return one.select("_row.*").union(many.select("_row.*"))

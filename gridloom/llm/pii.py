@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import trimmed
 from gridloom.llm.nets import Adam, Params, crf_marginals, lstm, lstm_back, normal, turned, viterbi
 
 # The kinds in order, and the base patterns. Starts are tied to where a leftmost match can begin,
@@ -28,6 +30,8 @@ DIGIT = re.compile(r"[0-9]")
 #: Characters of a window, and from one window's start to the next.
 WINDOW, STRIDE = 128, 64
 CHARS, CHAR_SIZE, SIZE = 160, 10, 12
+#: Windows that are decoded at once, and characters of the texts that are read at once.
+BATCH, GROUP = 256, 1 << 19
 #: Characters of the text around made-up spans in training.
 PIECE = 64
 #: Tags: outside, then begin and inside of each kind.
@@ -246,8 +250,8 @@ class Finder:
         """Base spans of each text, and all: base ones and those that the network adds clear of them."""
         todo = [(i, s) for i, t in enumerate(texts) for s in places(t)]
         runs: dict[int, list] = {}
-        for k in range(0, len(todo), 1024):
-            part = todo[k : k + 1024]
+        for k in range(0, len(todo), BATCH):
+            part = todo[k : k + BATCH]
             lines = [char_ids(texts[i][s : s + WINDOW]) for i, s in part]
             lengths = np.array([len(x) for x in lines])
             ids = np.zeros((lengths.max(), len(part)), np.int64)
@@ -295,8 +299,9 @@ def joined(spans: list[Span]) -> str:
 def sample(docs: DataFrame, n_docs: int, seed: int, id_col: str, text_col: str) -> list[str]:
     """Windows of text from n_docs documents at most, the smallest id hashes among those with a digit or an @: four of each."""
     able = docs.where(F.col(text_col).rlike("[0-9@]") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_own"), F.col(text_col).alias("text"))
-    ids = able.select(F.col("_own").alias("_id"), F.xxhash64("_own", F.lit(seed)).alias("turn")).orderBy("turn", "_id").limit(n_docs)
-    rows = able.join(F.broadcast(ids.distinct()), F.col("_own") == F.col("_id")).select("turn", "text")
+    ids = able.select(F.col("_own").alias("_id"), F.xxhash64("_own", F.lit(seed)).alias("turn")).distinct().orderBy("turn", "_id").limit(n_docs)
+    rows = able.join(F.broadcast(ids), F.col("_own") == F.col("_id"))
+    rows = rows.groupBy("_id", "turn").agg(F.min("text").alias("text"))  # of an id's copies one
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -328,19 +333,29 @@ def detect(docs: DataFrame, *, n_docs: int = 400, seed: int = 4, id_col: str = "
 
     @F.pandas_udf(FOUND)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        finder = Finder(tagger)
-        for x in batches:
-            rows, texts = [], [t or "" for t in x]
-            for text, (base, every) in zip(x, finder.spans(texts)):
-                counts = [sum(k == kind for kind, *_ in base) for k in range(len(KINDS))]
-                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), _redacted(text, every) if redact else None))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"])
+        yield from trimmed(partial(_found, tagger, redact))(batches)
 
     found = docs.withColumn("_found", find(F.col(text_col)))
     names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", *["redacted"] * redact]
     return found.withColumns({n: F.col(f"_found.{n}") for n in names}).drop("_found")
 
 
+def _found(tagger: Tagger, redact: bool, batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    finder = Finder(tagger)
+    for x in batches:
+        rows, group, size = [], [], 0
+        for i, text in enumerate(x):
+            group.append(text)
+            size += len(text or "")
+            if size < GROUP and i < len(x) - 1:
+                continue
+            for own, (base, every) in zip(group, finder.spans([t or "" for t in group])):
+                counts = [sum(k == kind for kind, *_ in base) for k in range(len(KINDS))]
+                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), _redacted(own, every) if redact else None))
+            group, size = [], 0
+        yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"])
+
+
 def _redacted(text: str | None, spans: list[Span]) -> str | None:
     if not spans or text is None:
         return text

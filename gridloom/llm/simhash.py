@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, roots, salted_join, written
+from gridloom.llm.common import components, roots, salted_join, whole_groups, written
 
 #: Reference fingerprints of a distance table, drawn from a fixed seed.
 PIVOTS = 24
@@ -21,50 +21,53 @@ HASHES = 1 << 16
 TILE = 2048
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """64-bit majority fingerprint of the text's word shingles (A-Z lower-cased, repeats included)."""
-    return int(majorities(text, width, seed, 1)[0])
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Other hashes from hashes, for a fingerprint of its own."""
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def majorities(text: str | None, width: int, seed: int, n_prints: int) -> np.ndarray:
-    """The fingerprint, and with n_prints = 2 that of the mixed hashes."""
+def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
+    """XXH64 of each word shingle in order, A-Z lower-cased, repeats included; a shorter text is one, none gives none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(n_prints, np.uint64)
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     last = ends[min(width, len(words)) - 1 :].tolist()
     first = [0, *(ends[: len(last) - 1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    ones, n = np.zeros((n_prints, 64), np.int64), len(last)
+    return np.fromiter((digest(line[i:j], seed) for i, j in zip(first, last)), np.uint64, len(last))
+
+
+def remixed(h: np.ndarray) -> np.ndarray:
+    """Other hashes from hashes, for a fingerprint of its own."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def majorities(hashes: np.ndarray, n_prints: int = 1) -> np.ndarray:
+    """Majority fingerprint of the hashes (none: zero), then those of the hashes remixed once, twice, ..."""
+    ones, n = np.zeros((n_prints, 64), np.int64), len(hashes)
     for at in range(0, n, HASHES):
-        h = np.fromiter((digest(line[i:j], seed) for i, j in zip(first[at : at + HASHES], last[at : at + HASHES])), "<u8")
+        h = hashes[at : at + HASHES]
         for p in range(n_prints):
-            h = mixed(h) if p else h
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            h = remixed(h) if p else h
+            bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             for k in range(0, len(bits), 255):  # so many bits fit a byte's sum
                 ones[p] += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, n_prints: int = 1) -> DataFrame:
-    """(id, h, fp long, more long) of each row; fp holds the unsigned fingerprint's bits, more the second one's (0 without), h a hash of the text as it is."""
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """64-bit majority fingerprint of the text's word shingles (A-Z lower-cased, repeats included)."""
+    return int(majorities(shingle_hashes(text, width, seed))[0])
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
+    """(id, fp long) of each row; fp holds the unsigned fingerprint's bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            found = np.array([majorities(t, width, seed, n_prints) for t in x["text"]], np.uint64).reshape(len(x), n_prints)
-            more = found[:, 1] if n_prints > 1 else np.zeros(len(x), np.uint64)
-            yield pd.DataFrame({"id": x["id"], "h": x["h"], "fp": found[:, 0].copy().view(np.int64), "more": more.copy().view(np.int64)})
+            found = np.array([fingerprint(t, width, seed) for t in x["text"]], np.uint64)
+            yield pd.DataFrame({"id": x["id"], "fp": found.view(np.int64)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInPandas(run, f"id {kind}, h long, fp long, more long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fp long")
 
 
 def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -118,57 +121,44 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def near_fingerprints(prints: DataFrame, radius: int = 4, check: int | None = None) -> DataFrame:
-    """(a, b) edges, both fp long, that connect exactly the distinct fingerprints (column fp) within `radius` bits - and, with check,
-    whose second fingerprints (column more) are within `check` bits.
+def near_fingerprints(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b) edges, both fp long, that connect exactly the distinct fingerprints (column fp) within `radius` bits.
 
     A distance to references restricted to some bits is 0 apart where those bits agree, so seed groups - equal
     values under one of seed_masks - hold every pair in range. A seed group above TILE rows is dealt
     into tiles and each pair of tiles is its own task row group. Within a task pivot distance tables discard and the survivors are
     verified; only a spanning forest of the links leaves it.
     """
-    spark = prints.sparkSession
     masks = seed_masks(prints.count(), radius)
-    keyed = prints.select("fp", F.col("more") if check else F.lit(0).cast("long").alias("more"), F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.expr(f"fp & {_signed(x)}L").alias("v")) for m, x in enumerate(masks)])).alias("s")).select("fp", "more", "s.*")
+    seeds = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.expr(f"fp & {_signed(x)}L").alias("v")) for m, x in enumerate(masks)]))
+    keyed = prints.select("fp", seeds.alias("s")).select("fp", "s.*")
     groups = keyed.groupBy("m", "v").agg(F.count("*").alias("n")).where("n > 1")
     groups = written(groups.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")), "simhash-groups")
     # A row goes to the tasks of all tile pairs that its tile is in; a group of one tile is one task.
     rows = salted_join(keyed, groups.select("m", "v", "tiles"), ["m", "v"], "fp", salts=4)
     rows = rows.withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    task = ["m", "v", "ta", "tb"]
-    rows = rows.select("fp", "more", "m", "v", "t", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
-    return rows.repartition(*task).sortWithinPartitions(*task).mapInPandas(_searcher(radius, check), "a long, b long")
+    rows = rows.select("fp", "m", "v", "t", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
+    return rows.repartition(*TASK).sortWithinPartitions(*TASK).mapInPandas(_searcher(radius), "a long, b long")
 
 
-def _searcher(radius: int, check: int | None):
+TASK = ["m", "v", "ta", "tb"]
+
+
+def _searcher(radius: int):
     """Links within tasks; rows come sorted by task, and a task's rows may go over several batches."""
     refs = pivots()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame()
-        for x in batches:
-            x = pd.concat([held, x], ignore_index=True)
-            starts = _starts(x)
-            cut = starts[-1] if len(starts) else 0  # the last task may go on
-            held = x.iloc[cut:]
-            if cut:
-                yield _search(x.iloc[:cut], starts[:-1], radius, check, refs)
-        if len(held):
-            yield _search(held.reset_index(drop=True), np.zeros(1, np.int64), radius, check, refs)
+        for x, starts in whole_groups(batches, TASK):
+            yield _search(x, starts, radius, refs)
 
     return run
 
 
-def _starts(x: pd.DataFrame) -> np.ndarray:
-    new = np.ones(len(x), bool)
-    new[1:] = np.any([x[c].to_numpy()[1:] != x[c].to_numpy()[:-1] for c in ("m", "v", "ta", "tb")], axis=0)
-    return np.flatnonzero(new)
-
-
-def _search(x: pd.DataFrame, starts: np.ndarray, radius: int, check: int | None, refs: np.ndarray) -> pd.DataFrame:
+def _search(x: pd.DataFrame, starts: np.ndarray, radius: int, refs: np.ndarray) -> pd.DataFrame:
     """Forest of the links of whole tasks."""
-    fp, more = (x[c].to_numpy(np.int64).view(np.uint64) for c in ("fp", "more"))
+    fp = x["fp"].to_numpy(np.int64).view(np.uint64)
     t, ta, tb = (x[c].to_numpy() for c in ("t", "ta", "tb"))
     ends = np.r_[starts[1:], len(x)]
     low, high = [], []
@@ -176,19 +166,13 @@ def _search(x: pd.DataFrame, starts: np.ndarray, radius: int, check: int | None,
     for s, e in zip(starts[~small], ends[~small]):
         alone = ta[s] == tb[s]
         first = np.ones(e - s, bool) if alone else t[s:e] == ta[s]
-        p = np.arange(s, e)[first]
-        q = np.arange(s, e) if alone else np.arange(s, e)[~first]
-        a, b = fp[p], fp[q]
+        a, b = fp[s:e][first], fp[s:e] if alone else fp[s:e][~first]
         for i, j in linked(a, b, radius, refs) if len(a) and len(b) else ():
-            if check:
-                keep = distance(more[p[i]], more[q[j]]) <= check
-                i, j = i[keep], j[keep]
             node, root = roots(a[i], b[j])
             low.append(root[node != root])
             high.append(node[node != root])
     for size in np.unique((ends - starts)[small]):  # small tasks of one size are compared together
-        at = starts[small & (ends - starts == size)]
-        block, second = fp[at[:, None] + np.arange(size)], more[at[:, None] + np.arange(size)]
+        block = fp[starts[small & (ends - starts == size)][:, None] + np.arange(size)]
         tables = [distance(block, p) for p in refs]
         for u in range(size - 1):
             g, w = np.nonzero(np.abs(tables[0][:, u + 1 :] - tables[0][:, u, None]) <= radius)
@@ -198,55 +182,28 @@ def _search(x: pd.DataFrame, starts: np.ndarray, radius: int, check: int | None,
                 keep = np.abs(table[g, u] - table[g, u + 1 + w]) <= radius
                 g, w = g[keep], w[keep]
             keep = distance(block[g, u], block[g, u + 1 + w]) <= radius
-            if check:
-                keep &= distance(second[g, u], second[g, u + 1 + w]) <= check
             low.append(block[g, u][keep])
             high.append(block[g, u + 1 + w][keep])
     a, b = roots(*(np.concatenate([*z, np.empty(0, np.uint64)]).view(np.int64) for z in (low, high)))
     return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4, check: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, h, fp) of docs, and (fp, component_id, root) of each fingerprint; a component has one root.
-
-    check: links hold only if second fingerprints, of other hashes, are within so many bits: for wide radii, at which
-    unrelated texts begin to meet by chance. Texts of one fingerprint stay one node.
-    """
-    rows = written(fingerprints(docs, id_col, text_col, width, seed, 2 if check else 1), "simhash-rows")
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-nodes")
-    prints = rows.select("fp", "more").distinct() if check else nodes.select("fp")  # a link may hold for any second fingerprint of a node
-    reach = components(near_fingerprints(prints, radius, check))
-    joined = written(nodes.join(reach, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root")), "simhash-roots")
-    least = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows, written(salted_join(joined, least, ["root"], "fp").select("fp", "component_id", "root"), "simhash-named")
-
-
-def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """Per row of docs: id, fp (long), component_id - the smallest id whose fingerprint is reachable in steps of `radius` bits or fewer.
 
     Null and empty texts, and texts without words, have fingerprint zero and are linked like any other; texts
     shorter than a shingle hash as one. Texts are hashed whole, at any length. Rows that repeat an id or a text
     each get a row; equal fingerprints are one node. A null id names a component only where it has no other.
-    An empty table gives no rows. Other columns are not carried. Keywords: see groups().
+    An empty table gives no rows. Other columns are not carried.
     """
-    rows, named = groups(docs, **how)
+    rows = written(fingerprints(docs, id_col, text_col, width, seed), "simhash-rows")
+    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-nodes")
+    reach = components(near_fingerprints(nodes.select("fp"), radius))
+    joined = written(nodes.join(reach, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root")), "simhash-roots")
+    least = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = written(salted_join(joined, least, ["root"], "fp").select("fp", "component_id"), "simhash-named")
     return salted_join(rows, named, ["fp"], "id").select("id", "fp", "component_id")
 
 
 def hex64(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each group of near duplicates: that of the smallest id (nulls last), then text hash.
-
-    Columns stay as they are; of equal (id, text) rows one stays. Keywords: see groups().
-    """
-    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    rows, named = groups(docs, **how)
-    first = F.min(F.struct(F.col("id").isNull().alias("void"), "id", "h")).alias("first")
-    keys = salted_join(rows, named, ["fp"], "h").groupBy("root").agg(first)
-    keys = keys.select(F.col("first.id").alias("_id"), F.col("first.h").alias("_h"))
-    mine = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = mine[id_col].eqNullSafe(keys["_id"]) & (mine["_text_hash"] == keys["_h"])
-    return mine.join(keys, same, "left_semi").dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import trimmed
 from gridloom.llm.nets import Adam, Params, gru, gru_back, normal, sigmoid, turned
 
 #: Words are runs of letters, digits and _, lower-cased; longer runs go on as further words.
@@ -21,10 +23,12 @@ CHARS = 192
 #: Words with a vector of their own; all others share one.
 WORDS = 4096
 CHAR_SIZE, WORD_SIZE, SIZE = 8, 8, 8
-#: Words whose gates a scorer remembers.
-KNOWN = 200_000
+#: Words whose gates a scorer remembers, and words whose gates are made at once.
+KNOWN, FRESH = 1 << 17, 1024
 #: Windows that are scored at once.
-BATCH = 1024
+BATCH = 256
+#: Characters of the texts that are scored at once, and words of a piece of a longer text.
+GROUP, PIECE = 1 << 19, 1024 * STRIDE
 
 
 def tokens(text: str | None) -> list[str]:
@@ -36,6 +40,20 @@ def windows(n: int) -> list[tuple[int, int]]:
     return [(s, min(n, s + WINDOW)) for s in range(0, max(0, n - WINDOW) + STRIDE, STRIDE) if s == 0 or s < n]
 
 
+def pieces(text: str) -> Iterator[list[str]]:
+    """The text's words in pieces whose windows together are those of the whole; only one piece is in memory."""
+    if len(text) <= GROUP:
+        yield tokens(text)
+        return
+    held: list[str] = []
+    for m in TOKEN.finditer(text.lower()):
+        if len(held) == PIECE + WINDOW - STRIDE:
+            yield held
+            held = held[PIECE:]
+        held.append(m[0])
+    yield held
+
+
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Character numbers (steps, words) and the words' lengths."""
     lengths = np.array([len(w) for w in words], int)
@@ -161,50 +179,59 @@ def _fit(net: Net, split: list[list[str]], toxic: np.ndarray, rng: np.random.Gen
             adam.step(g)
 
 
-def train(texts: list[str], toxic: np.ndarray, more: list[str] = (), seed: int = 3, epochs: int = 5, batch: int = 48, rate: float = 0.01) -> Net | float:
+def train(texts: list[str], toxic: np.ndarray, seed: int = 3, each: int = 600, chars: int = 2500, epochs: int = 5, batch: int = 48, rate: float = 0.01) -> Net | float:
     """A trained network, or where only one label occurs the share of label 1.
 
-    more: further texts of label 0. Their windows that the network takes for toxic join the training rows
-    for a second round.
+    A first round learns from `each` texts of a label, of up to `chars` characters where there are any. A second one adds the windows that the
+    network misjudges: of texts of label 0 those that it takes for toxic, of long texts of label 1 the best one.
     """
     toxic = np.asarray(toxic, float)
     if not len(texts) or toxic.min() == toxic.max():
         return float(toxic.mean()) if len(texts) else 0.0
-    split, rng = [tokens(t) for t in texts], np.random.default_rng(seed)
-    seen = Counter(w for x in split for w in sorted(set(x)))
+    split, rng, first = [tokens(t) for t in texts], np.random.default_rng(seed), []
+    for y in (0, 1):
+        own = [i for i in range(len(texts)) if toxic[i] == y]
+        first += [i for i in own if len(texts[i]) <= chars][:each] or sorted(own, key=lambda i: len(texts[i]))[:20]
+    first.sort()
+    seen = Counter(w for i in first for w in sorted(set(split[i])))
     net = Net.fresh([w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:WORDS] if n > 1], seed)
-    epochs = min(40, max(epochs, 9000 // len(texts)))  # few rows are seen more often
-    _fit(net, split, toxic, rng, epochs, batch, rate)
-    scorer, hard = Scorer(net), []
-    for x in [x for x, y in zip(split, toxic) if not y] + [tokens(t) for t in more]:
+    epochs = min(40, max(epochs, 9000 // len(first)))  # few rows are seen more often
+    start, marks = [split[i] for i in first], toxic[first]
+    _fit(net, start, marks, rng, epochs, batch, rate)
+    scorer, hard, best, used = Scorer(net), [], [], set(first)
+    for i, x in enumerate(split):
         logits = scorer.window_logits([x])[1]
-        hard += [(q, x[a:b]) for q, (a, b) in zip(logits, windows(len(x))) if q > -3]
-    hard = [x for _, x in sorted(hard, key=lambda x: -x[0])[: len(texts)]]
-    _fit(net, split + hard, np.r_[toxic, np.zeros(len(hard))], rng, epochs // 2, batch, rate / 2)
+        if not toxic[i]:
+            hard += [(q, x[a:b]) for q, (a, b) in zip(logits, windows(len(x))) if q > -3]
+        elif i not in used and logits.max() > 0:
+            a, b = windows(len(x))[int(logits.argmax())]
+            best.append(x[a:b])
+    hard = [x for _, x in sorted(hard, key=lambda x: -x[0])[: len(first)]]
+    _fit(net, start + best + hard, np.r_[marks, np.ones(len(best)), np.zeros(len(hard))], rng, epochs // 2, batch, rate / 2)
     return net
 
 
 class Scorer:
-    """Scores whole texts: the sigmoid of the highest logit of all windows."""
+    """Scores whole texts: the sigmoid of the highest logit of all windows. Memory is bounded by KNOWN, GROUP and BATCH."""
 
     def __init__(self, net: Net | float):
         self.net, self.known = net, {}
-        self.gates = np.zeros((2, 0, 3 * SIZE), np.float32)
+        self.gates = np.zeros((2, KNOWN if isinstance(net, Net) else 0, 3 * SIZE), np.float32)
 
     def numbers(self, split: list[list[str]]) -> list[np.ndarray]:
         """Word numbers of texts, after gates of new words are made."""
-        if len(self.known) > KNOWN:
-            self.known, self.gates = {}, self.gates[:, :0]
-        known, old = self.known, len(self.known)
-        out = [np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)) for words in split]
-        new = list(known)[old:]
-        if new:
-            order = sorted(range(len(new)), key=lambda i: -len(new[i]))
-            made = np.empty((2, len(new), 3 * SIZE), np.float32)
-            for s in range(0, len(new), 4096):
-                made[:, order[s : s + 4096]] = self.net.word_gates([new[i] for i in order[s : s + 4096]])
-            self.gates = np.concatenate([self.gates, made], axis=1)
-        return out
+        here = dict.fromkeys(w for words in split for w in words)
+        new = [w for w in here if w not in self.known]
+        if len(self.known) + len(new) > self.gates.shape[1]:
+            self.known, new = {}, list(here)
+            if len(new) > self.gates.shape[1]:
+                self.gates = np.zeros((2, len(new), 3 * SIZE), np.float32)
+        new.sort(key=len, reverse=True)
+        for s in range(0, len(new), FRESH):
+            part, at = new[s : s + FRESH], len(self.known)
+            self.gates[:, at : at + len(part)] = self.net.word_gates(part)
+            self.known.update(zip(part, range(at, at + len(part))))
+        return [np.fromiter((self.known[w] for w in words), np.int64, len(words)) for words in split]
 
     def window_logits(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Text number and logit of every window, in order."""
@@ -212,7 +239,6 @@ class Scorer:
         spans = [(i, a, b) for i, x in enumerate(ids) for a, b in windows(len(x))]
         order = sorted(range(len(spans)), key=lambda w: spans[w][1] - spans[w][2])  # longest first
         logits = np.empty(len(spans))
-        gates = self.gates if self.gates.shape[1] else np.zeros((2, 1, 3 * SIZE), np.float32)
         for s in range(0, len(spans), BATCH):
             part = order[s : s + BATCH]
             lengths = np.array([spans[w][2] - spans[w][1] for w in part])
@@ -220,37 +246,54 @@ class Scorer:
             for k, w in enumerate(part):
                 i, a, b = spans[w]
                 line[k, : b - a] = ids[i][a:b]
-            logits[part] = self.net.pooled(gates, line.T, lengths)
+            logits[part] = self.net.pooled(self.gates, line.T, lengths)
         return np.array([i for i, *_ in spans], int), logits
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not isinstance(self.net, Net):
             return np.full(len(texts), self.net)
-        best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, *self.window_logits([tokens(t) for t in texts]))
+        best, rows, group, size = np.full(len(texts), -np.inf), [], [], 0
+        for i, t in enumerate(texts):
+            for words in pieces(t or ""):
+                rows.append(i)
+                group.append(words)
+                size += 8 * len(words)
+                if size >= GROUP:
+                    self._raise(best, rows, group)
+                    rows, group, size = [], [], 0
+        self._raise(best, rows, group)
         return sigmoid(best)
 
+    def _raise(self, best: np.ndarray, rows: list[int], group: list[list[str]]) -> None:
+        if group:
+            at, logits = self.window_logits(group)
+            np.maximum.at(best, np.array(rows)[at], logits)
+
 
 def held_out(id_col: str):
     """Rows that never train: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, each: int, chars: int, more: int, seed: int, id_col: str, text_col: str) -> tuple[pd.DataFrame, list[str]]:
-    """Training rows (text, toxic): at most `each` of a label, the smallest id hashes among texts of at most `chars` characters;
-    and the texts of `more` further rows of label 0, of at most 8 times that length."""
+def sample(docs: DataFrame, labels: DataFrame, each: int, chars: int, more: int, seed: int, id_col: str, text_col: str) -> pd.DataFrame:
+    """Training rows (text, toxic): of the smallest id hashes of either label `each` ids at most, and `more` further ones of label 0.
+
+    An id has one row, whatever its copies. A text of more than 8 times `chars` characters gives a stretch of that size, at a place by its hash.
+    """
     known = labels.where(f"{id_col} is not null and toxic is not null").groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(id_col)).withColumn("turn", F.xxhash64(id_col, F.lit(seed)))
-    # more ids than needed, for those with long texts; a bounded table, so a safe broadcast
-    picked = [known.where(F.col("toxic") == y).orderBy("turn", id_col).limit(3 * each + more) for y in (0, 1)]
+    # labels may name ids that documents lack, so more are asked for; a bounded table, so a safe broadcast
+    asked = {0: 2 * each + more, 1: 2 * each}
+    picked = [known.where(F.col("toxic") == y).orderBy("turn", id_col).limit(n) for y, n in asked.items()]
     picked = picked[0].union(picked[1]).withColumnRenamed(id_col, "_id")
-    rows = docs.where(F.length(text_col) <= 8 * chars).select(F.col(id_col).alias("_own"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(picked), F.col("_own") == F.col("_id")).select("toxic", "turn", "_id", "text", F.xxhash64("text").alias("h")).toPandas()
-    rows = rows.sort_values(["turn", "_id", "h"], ignore_index=True)
-    short = rows[rows["text"].str.len() <= chars]
-    first = pd.concat([short[short["toxic"] == y].head(each) for y in (0, 1)]).sort_index()
-    rest = rows[rows["toxic"] == 0].drop(first.index, errors="ignore")
-    return first, list(rest["text"].head(more))
+    h, text, most = F.xxhash64(text_col), F.col(text_col), 8 * chars
+    cut = F.when(F.length(text) > most, F.substring(text, (F.pmod(h, F.length(text) - most) + 1).cast("int"), F.lit(most))).otherwise(text)
+    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("_own"), cut.alias("text"), h.alias("h"))
+    rows = rows.join(F.broadcast(picked), F.col("_own") == F.col("_id"))
+    rows = rows.groupBy("_id", "toxic", "turn").agg(F.min(F.struct("h", "text")).alias("first"))  # of an id's copies one, before any is collected
+    found = rows.select("toxic", "turn", "_id", F.col("first.text").alias("text")).toPandas().sort_values(["turn", "_id"], ignore_index=True)
+    kept = [found[found["toxic"] == y].head(n) for y, n in ((0, each + more), (1, each))]
+    return pd.concat(kept).sort_index()
 
 
 def score(
@@ -268,8 +311,8 @@ def score(
 ) -> DataFrame:
     """docs with held_out, score, predicted; score is the sigmoid of the highest window's logit.
 
-    The network is trained on `each` rows of either label and `more` further ones of label 0 at most (see sample();
-    ids outside of the held-out third); disagreeing labels of an id count as toxic, and with one label only the score is its
+    The network is trained on `each` ids of either label and `more` further ones of label 0 at most (see sample() and
+    train(); ids outside of the held-out third); disagreeing labels of an id count as toxic, and with one label only the score is its
     share. Every text is scored whole, in overlapping windows; only the text is an input.
 
     Null and empty texts have one window without words, which scores by the bias alone. Rows that repeat an id
@@ -277,22 +320,18 @@ def score(
     held_out, score or predicted are replaced.
     """
     if net is None:
-        rows, rest = sample(docs, labels, each, chars, more, seed, id_col, text_col)
-        net = train(list(rows["text"]), rows["toxic"].to_numpy(), rest, seed)
+        rows = sample(docs, labels, each, chars, more, seed, id_col, text_col)
+        net = train(list(rows["text"]), rows["toxic"].to_numpy(), seed, each, chars)
 
     @F.pandas_udf("double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(net)
-        for x in batches:
-            out = np.empty(len(x))
-            size, part = 0, []
-            for i, t in enumerate(x):  # some megabytes of text at a time
-                part.append(i)
-                size += len(t or "")
-                if size > 1 << 22 or i == len(x) - 1:
-                    out[part] = scorer.scores([x.iloc[k] for k in part])
-                    size, part = 0, []
-            yield pd.Series(out)
+        yield from trimmed(partial(_judged, net))(batches)
 
     scored = docs.withColumn("held_out", held_out(id_col)).withColumn("score", judge(F.col(text_col)))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def _judged(net: Net | float, batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    scorer = Scorer(net)
+    for x in batches:
+        yield pd.Series(scorer.scores(x))

@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import math
 import itertools
 import random
 import re
@@ -73,11 +74,13 @@ def test_mixing_meets_its_targets(spark, monkeypatch):
 
 def test_mixed_rows_are_whole_copies(spark):
     rows = mixed_rows()
-    docs = documents(spark, rows).withColumn("_n", F.lit(3))
+    clash = {c: F.col("n_chars") * 2 for c in ("_n", "_i", "_c", "_z", "_row", "_copy", "_size", "_rows")}
+    docs = documents(spark, rows).withColumns(clash)
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
     copies = {}
     for r in out.collect():
+        assert all(r[c] == 2 * r["n_chars"] for c in clash)
         copies[r["doc_id"], r["source"], r["text"]] = copies.get((r["doc_id"], r["source"], r["text"]), 0) + 1
     want = {}
     for r in mixing.mix(docs).collect():
@@ -357,6 +360,70 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs.limit(5), labels.limit(0)).select(F.max("score")).first()[0] == 0.0
 
 
+def slow_score(net, text):
+    """The highest window's score, one number at a time."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def unit(xs, u, c):
+        h, out = [0.0] * len(u), []
+        for x in xs:
+            g = [sum(h[i] * u[i][j] for i in range(len(u))) for j in range(3 * len(u))]
+            k, new = len(u), []
+            for j in range(k):
+                z, r = sig(x[j] + g[j]), sig(x[k + j] + g[k + j])
+                new.append((1 - z) * math.tanh(x[2 * k + j] + r * (g[2 * k + j] + c[0][j])) + z * h[j])
+            h = new
+            out.append(h)
+        return out
+
+    def inputs(v, w, b):
+        return [sum(v[i] * w[i][j] for i in range(len(v))) + b[0][j] for j in range(len(b[0]))]
+
+    def word(w, way):
+        ids = [ord(c) if ord(c) < 128 else 128 + ord(c) % (toxicity.CHARS - 128) for c in w]
+        ends = [unit([inputs(p["chars"][i], p["char_w"][d], p["char_b"][d]) for i in (ids, ids[::-1])[d]], p["char_u"][d], p["char_c"][d])[-1] for d in (0, 1)]
+        return inputs([*p["words"][net.vocabulary.get(w, 0)], *ends[0], *ends[1]], p["w"][way], p["b"][way])
+
+    words, best = toxicity.tokens(text), -1e9
+    for a, b in toxicity.windows(len(words)):
+        part = words[a:b]
+        if not part:
+            best = max(best, p["bias"][0])
+            continue
+        there = unit([word(w, 0) for w in part], p["u"][0], p["c"][0])
+        back = unit([word(w, 1) for w in part[::-1]], p["u"][1], p["c"][1])[::-1]
+        h = [x + y for x, y in zip(there, back)]
+        s = [sum(math.tanh(sum(v[i] * p["att"][i][j] for i in range(len(v)))) * p["att_v"][j][0] for j in range(p["att"].shape[1])) for v in h]
+        e = [math.exp(v - max(s)) for v in s]
+        pool = [sum(e[t] / sum(e) * h[t][i] for t in range(len(h))) for i in range(len(h[0]))]
+        best = max(best, sum(pool[i] * p["out"][i][0] for i in range(len(pool))) + p["bias"][0])
+    return sig(best)
+
+
+def test_scores_equal_a_network_of_plain_loops(monkeypatch):
+    rng = random.Random(4)
+    net = toxicity.Net.fresh(["ab", "cd", "é"], 5)
+    for k in net.p:
+        net.p[k] = net.p[k] + np.random.default_rng(len(k)).standard_normal(net.p[k].shape).astype(np.float32) * 0.2
+    texts = ["", None, "ab", "Cd é x" * 3, *(" ".join(rng.choice(["ab", "cd", "zz", "éa", "q" * 25]) for _ in range(n)) for n in (5, 96, 97, 200))]
+    want = [slow_score(net, t) for t in texts]
+    assert np.allclose(toxicity.Scorer(net).scores(texts), want, atol=1e-5)
+    monkeypatch.setattr(toxicity, "GROUP", 40)  # every longer text in pieces, the known words forgotten again and again
+    monkeypatch.setattr(toxicity, "PIECE", toxicity.STRIDE)
+    monkeypatch.setattr(toxicity, "KNOWN", 3)
+    assert np.allclose(toxicity.Scorer(net).scores(texts), want, atol=1e-5)
+
+
+def test_pieces_have_the_windows_of_the_whole(monkeypatch):
+    monkeypatch.setattr(toxicity, "GROUP", 0)
+    monkeypatch.setattr(toxicity, "PIECE", 2 * toxicity.STRIDE)
+    for n in range(0, 700, 3):
+        words = [f"w{i}" for i in range(n)]
+        want = {tuple(words[a:b]) for a, b in toxicity.windows(n)}
+        assert {tuple(x[a:b]) for x in toxicity.pieces(" ".join(words)) for a, b in toxicity.windows(len(x))} == want
+
+
 def test_toxic_windows_cover_all_words():
     for n in range(0, 400):
         w = toxicity.windows(n)

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, common, embed_dedup, jaccard, simhash
+from gridloom.llm import ann, common, embed_dedup, simhash, similar
 
 
 def brute_components(ids, linked):
@@ -92,23 +92,6 @@ def test_dense_near_copies_stay_one_component(spark, monkeypatch):
     assert all(got.get(f, f) == want[f] for f in fps)
 
 
-def test_second_fingerprints_confirm_links(spark):
-    rows = list(enumerate(texts(), 10))
-    both = {i: [int(v) for v in simhash.majorities(t, 5, 42, 2)] for i, t in rows}
-    links = [(a, b) for a in both for b in both if a < b and all((x ^ y).bit_count() <= r for x, y, r in zip(both[a], both[b], (8, 16)))]
-    assert any(both[a] != both[b] for a, b in links)
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=5, radius=8, check=16).collect()
-    assert {r["id"]: r["component_id"] for r in got} == brute_components(both, links)
-
-
-def test_links_of_every_second_fingerprint_count(spark, monkeypatch):
-    rows = [(1, 1, 0, 0), (2, 2, 0, 2**40 - 1), (3, 3, 3, 2**40 - 1), (4, 4, 2**50 - 1, 0)]
-    prints = spark.createDataFrame(rows, "id long, h long, fp long, more long")
-    monkeypatch.setattr(simhash, "fingerprints", lambda *_: prints)
-    got = simhash.near_duplicates(prints, radius=8, check=16).collect()
-    assert {r["id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 4}
-
-
 def test_seed_masks_miss_no_pair():
     rng = random.Random(3)
     for n in (10, 10**6, 10**9):
@@ -120,41 +103,59 @@ def test_seed_masks_miss_no_pair():
 
 def test_keep_first_keeps_one_of_each_group(spark):
     rows = [(5, "a b c d e f"), (3, "A B C D E F"), (3, "A B C D E F"), (None, "a b c d e f"), (7, None), (8, ""), (9, "other words entirely in this one"), (None, "only null id here now"), (9, "same id but a very different text")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("root", F.lit(0))
-    got = simhash.keep_first(docs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("root", "row", "key", "_k", "node")})
+    got = similar.keep_first(docs)
     assert got.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(3, "A B C D E F"), (7, None), (9, "other words entirely in this one"), (0, "only null id here now"), (9, "same id but a very different text")])
-    assert simhash.keep_first(docs.limit(0)).count() == 0
+    assert similar.keep_first(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("tile, frequent", [(2048, 100_000), (16, 100_000), (2048, 1)])
-def test_pipeline_near_dedup_equals_brute_force_at_four_fifths(spark, monkeypatch, tile, frequent):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    monkeypatch.setattr(jaccard, "TILE", tile)
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
-    rng = random.Random(5)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+def family(rng, word, n_bases, copies):
     texts, passage = [None, "", " ", "One", "ONE", "a b c d e"], [word() for _ in range(25)]
-    for k in range(60):
+    for k in range(n_bases):
         base = [word() for _ in range(rng.randint(5, 150))] + passage * (k % 3 == 0)
         texts.append(" ".join(base))
-        for _ in range(40 if k == 1 else rng.randint(0, 4)):
+        for _ in range(copies if k == 1 else rng.randint(0, 4)):
             v = list(base)
             for _ in range(rng.randint(0, max(1, len(v) // 35))):
                 v[rng.randrange(len(v))] = word()
             texts.append(" ".join(v * rng.randint(1, 2)).upper())
     rng.shuffle(texts)
-    sets = []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
-    like = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
-    links = [(a, b) for b in range(len(sets)) for a in range(b) if like(sets[a], sets[b])]
+    return texts
+
+
+def shingle_set(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("tile, near", [(2048, 64), (16, 8), (2048, 2)])
+def test_groups_at_four_fifths_equal_brute_force(spark, monkeypatch, tile, near):
+    monkeypatch.setattr(similar, "TILE", tile)
+    monkeypatch.setattr(similar, "NEAR", near)
+    rng = random.Random(5)
+    texts = family(rng, lambda: "".join(rng.choice("abcdefgh") for _ in range(4)), 60, 90)
+    sets = [shingle_set(t) for t in texts]
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     want = sorted(set(brute_components(range(len(sets)), links).values()))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("node", F.lit(0)).repartition(4)
-    got = pipeline.drop_near_duplicates(spark, docs, "")
+    got = similar.keep_first(docs, recall=1 - 1e-9)  # so that none is left to chance
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == want
-    assert pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_recall_of_pairs_at_the_threshold():
+    rng = np.random.default_rng(2)
+    hit = near = total = 0
+    bits, bands, short_bands, radius = similar.calibrate(1_000_000, 0.8, 0.99)
+    for _ in range(400):
+        n = int(rng.integers(8, 300))
+        m = -(-8 * n // 9)  # n and n shingles, m of them common: 0.8 or a little more
+        h = rng.integers(0, 2**63, 2 * n - m).astype(np.uint64)
+        p = np.stack([similar.majorities(h[:n], similar.PRINTS), similar.majorities(h[n - m :], similar.PRINTS)])
+        keys = similar.band_keys(p, bits, short_bands if n < similar.SHORT else bands, 42)
+        agree = (keys[0] == keys[1]).any()
+        total, hit, near = total + 1, hit + agree, near + (agree and (int(p[0, 0]) ^ int(p[1, 0])).bit_count() <= radius)
+    assert hit >= 0.95 * total and near >= 0.94 * total
 
 
 def vectors(seed=0):
