@@ -16,7 +16,7 @@ from gridloom.llm.simhash import distance, majorities, pivots, shingle_hashes
 
 #: Fingerprints of a set: the first is compared, the bits of the others make the band keys.
 PRINTS = 5
-#: Neighbours in a band group's order that the first round compares; larger groups go on to the second.
+#: Neighbours in a band group's order that the first round looks at; larger groups go on to the second.
 NEAR = 64
 #: Rows of one comparison tile.
 TILE = 2048
@@ -90,30 +90,35 @@ def near(table: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray, radius
 
 
 def _first_round(similarity: float, radius: int):
-    """Pairs of the next NEAR rows of a group in range; hot is the key of a larger group."""
+    """Of each row the pair with the last earlier row of its group in range. What that leaves out goes to the second round:
+    (key, node) of rows that have further pairs in range, and the key of a group of more than NEAR rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        refs, held = pivots(), pd.DataFrame()
+        refs, held, none = pivots(), pd.DataFrame(), np.empty(0, np.int64)
         for x in batches:
             old = len(held)
             x = pd.concat([held, x], ignore_index=True)
             key, node, n = (x[c].to_numpy() for c in ("key", "node", "n"))
             fp = x["fp"].to_numpy(np.int64).view(np.uint64)
             table = np.stack([distance(fp, p) for p in refs])
-            out, hot = [np.empty((2, 0), np.int64)], [np.empty(0, np.int64)]
+            paired, pairs, over, hot = np.zeros(len(x), bool), [np.empty((2, 0), np.int64)], [none], none
             for d in range(1, NEAR + 1):
                 i = np.arange(max(0, old - d), max(0, len(x) - d))
                 i = i[key[i] == key[i + d]]
                 if d == NEAR:
-                    hot.append(key[i])
+                    hot = np.unique(key[i])
                 if d == NEAR or not len(i):
                     break
                 i = i[(np.minimum(n[i], n[i + d]) >= similarity * np.maximum(n[i], n[i + d]) - 1e-9) & (node[i] != node[i + d])]
                 i = i[near(table, fp, i, i + d, radius)]
-                out.append(np.sort(np.stack([node[i], node[i + d]]), axis=0))
-            a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-            top = np.unique(np.concatenate(hot))
-            yield pd.DataFrame({"a": np.r_[a, top], "b": np.r_[b, top], "hot": np.r_[np.zeros(len(a), bool), np.ones(len(top), bool)]})
+                again = paired[i + d]
+                over += [i[again], i[again] + d]
+                i = i[~again]
+                paired[i + d] = True
+                pairs.append(np.sort(np.stack([node[i], node[i + d]]), axis=0))
+            a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            k, m = np.unique(np.stack([key, node])[:, np.concatenate(over)], axis=1)
+            yield pd.DataFrame({"a": np.r_[a, k, hot], "b": np.r_[b, m, hot], "kind": np.repeat(["pair", "member", "group"], [len(a), len(k), len(hot)])})
             held = x.iloc[-NEAR:]
 
     return run
@@ -217,8 +222,8 @@ def keep_first(
     `similarity` or more. SimHash proposes the pairs: texts that agree on one of many draws of fingerprint bits (see
     calibrate(); at least `recall` of the pairs at the threshold, more above it) are compared by pivot distance tables
     and fingerprint distance, then by parity sketches, which discard without loss, and each link is confirmed
-    on whole sets, so none below the threshold is linked. Texts of equal sets are one node. A first round compares
-    the next NEAR rows of each group; a second one what larger groups still hold unconnected, in tiles.
+    on whole sets, so none below the threshold is linked. Texts of equal sets are one node. A first round pairs each row
+    of a group with one other in range; a second one what is left between rows that this has not connected, in tiles.
 
     Null and empty texts, and those without words, are alike. Columns stay as they are; of equal (id, text) rows one
     stays. An empty table gives no rows.
@@ -255,20 +260,21 @@ def keep_first(
 
     ahead = nodes.select("node", "n", "prints").mapInPandas(keyed, "node long, n int, fp long, keys array<long>")
     ahead = written(ahead, "similar-keys").select("node", "n", "fp", F.explode("keys").alias("key"))
-    found = ahead.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(trimmed(_first_round(similarity, radius)), "a long, b long, hot boolean")
+    found = ahead.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(trimmed(_first_round(similarity, radius)), "a long, b long, kind string")
     found = written(found.distinct(), "similar-pairs")
-    cold = found.where("not hot").select("a", "b")
+    cold = found.where("kind = 'pair'").select("a", "b")
     links = _confirmed(docs, cold, nodes, key, text, width, seed, similarity, "similar-first")
-    hot = found.where("hot").select(F.col("a").alias("key"))
-    if hot.limit(1).count():
-        whole = written(salted_join(ahead, hot, ["key"], "node"), "similar-hot")
-        size = whole.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("of"))
-        named = nodes.join(components(links), "node", "left").select("node", "small", F.coalesce("component", "node").alias("root"))
-        named = written(named, "similar-named")
+    hot = found.where("kind = 'group'").select(F.col("a").alias("key"))
+    members = found.where("kind = 'member'").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    if found.where("kind <> 'pair'").limit(1).count():
+        whole = salted_join(ahead.select("key", "node"), hot, ["key"], "node").union(members).distinct()
+        named = nodes.join(components(links), "node", "left")
+        named = written(named.select("node", "n", F.col("prints")[0].alias("fp"), "small", F.coalesce("component", "node").alias("root")), "similar-named")
+        slim = written(whole.join(named.select("node", "root"), "node"), "similar-hot")
         # A group that the first round has connected leaves nothing to compare.
-        slim = whole.join(named.select("node", "root"), "node")
-        open_ = slim.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key").join(size, "key")
-        r = salted_join(whole, written(open_, "similar-open"), ["key"], "node").join(named, "node")
+        open_ = slim.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / TILE).cast("int").alias("of"))
+        open_ = written(open_.where("x <> y").select("key", "of"), "similar-open")
+        r = salted_join(slim.select("key", "node"), open_, ["key"], "node").join(named, "node")
         r = r.withColumn("t", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
         r = r.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
         r = r.select("key", "node", "n", "fp", "small", "root", "t", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
