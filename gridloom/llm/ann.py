@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import salted_join, written
+from gridloom.llm.common import written
 
-#: Rows of a leaf that one task searches.
+#: Rows that one task searches, about: neighbouring leaves together, or a tile of a large one.
 TILE = 4096
 
 
@@ -152,7 +152,7 @@ def _exact(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             if len(x):
-                yield _top(q, ids, np.stack(x["v"].to_numpy()), x["vec_id"].to_numpy(), k)
+                yield _top(q, ids, matrix(x["v"]), x["vec_id"].to_numpy(), k)
 
     return _merged(rows.mapInPandas(run, "query_id long, vec_id long, score double").distinct(), k).toPandas()
 
@@ -163,10 +163,10 @@ def search(
     k: int = 10,
     every: int = 100,
     branches: int = 8,
-    leaf_rows: int = 400,
-    sample_rows: int = 16_384,
+    leaf_rows: int = 96,
+    sample_rows: int = 32_768,
     calibration: int = 64,
-    recall: float = 0.97,
+    recall: float = 0.95,
     seed: int = 11,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -175,8 +175,8 @@ def search(
 
     The tree is fitted on sample_rows rows at most (those of the smallest id hashes); every row is in a leaf.
     `calibration` queries at most, the smallest hashes again, are answered exactly against all rows; queries then visit as many leaves as
-    hold `recall` of those answers. Visited leaves are searched in full, in tiles of TILE rows, so distances
-    are exact and no leaf has a cap.
+    hold `recall` of those answers. A task has a run of neighbouring leaves of about TILE rows, or a tile of a larger leaf, and the
+    queries that visit some of them; it searches the visited leaves in full, so distances are exact and no leaf has a cap.
 
     Score is the Euclidean distance of the vectors as they are, in double precision; ties go to the smaller id.
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, take no
@@ -185,63 +185,107 @@ def search(
     rows. Other columns are not carried.
     """
     rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull())
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     schema = "query_id long, rank int, vec_id long, score double"
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if common is None:
         return rows.sparkSession.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == common["n"])
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows).toPandas()
-    tree = fit(np.unique(np.stack(sample["v"].to_numpy()), axis=0), branches, leaf_rows, seed)
+    rows, kind = rows.where(F.size("v") == common["n"]), rows.schema["v"].dataType.simpleString()
+    tree = fit(np.unique(matrix(_first(rows, sample_rows, seed)["v"]), axis=0), branches, leaf_rows, seed)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             if len(x):
-                yield x.assign(leaf=descend(tree, np.stack(x["v"].to_numpy())))
+                yield x.assign(leaf=descend(tree, matrix(x["v"])))
 
-    placed = written(rows.mapInPandas(place, "vec_id long, v array<double>, leaf long"), "ann-rows")
+    placed = written(rows.mapInPandas(place, f"vec_id long, v {kind}, leaf long"), "ann-rows")
     queries = placed.where(F.col("vec_id") % every == 0)
-    probe = queries.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(calibration).toPandas().drop_duplicates("vec_id")
+    probe = _first(queries.select("vec_id", "v"), calibration, seed)
     if not len(probe):
         return rows.sparkSession.createDataFrame([], schema)
     visits = _visits(placed, tree, probe, k, recall)
 
-    # As many rows as the tree has leaves, which sample_rows bounds.
-    tiles = placed.groupBy("leaf").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    shares = F.broadcast(tiles.select(F.col("leaf").alias("in_leaf"), F.col("tiles").alias("of")))
-    tiles = F.broadcast(tiles)
+    # One row per leaf, and sample_rows bounds the leaves: runs of leaves up to TILE rows share a task, a larger leaf has several.
+    sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    group, tiles, at, held_rows = np.zeros(tree.leaves, np.int64), np.ones(tree.leaves, np.int64), 0, 0
+    for leaf in range(tree.leaves):
+        n = sizes.get(leaf, 0)
+        if held_rows and held_rows + n > TILE:
+            at, held_rows = at + 1, 0
+        group[leaf], tiles[leaf], held_rows = at, max(1, -(-n // TILE)), held_rows + n
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            if len(x):
-                bins = [best_bins(tree, q, visits) for q in x["v"]]
-                out = x[["vec_id", "v"]].assign(leaf=bins).explode("leaf", ignore_index=True)
-                yield out.astype({"leaf": "int64"})
+            out = [(i, v, g, t, b) for i, v in zip(x["vec_id"], x["v"]) for g, t, b in _tasks(best_bins(tree, np.asarray(v, float), visits), group, tiles)]
+            yield pd.DataFrame(out, columns=["vec_id", "v", "in_group", "in_tile", "leaves"])
 
-    asked = queries.select("vec_id", "v").dropDuplicates(["vec_id", "v"]).mapInPandas(route, "vec_id long, v array<double>, leaf long")
-    asked = asked.join(shares, F.col("leaf") == F.col("in_leaf"))
-    asked = asked.select("vec_id", "v", "in_leaf", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("in_tile"))
-    held = placed.join(tiles, "leaf").withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            leaf = x["leaf"].to_numpy()
+            yield x.assign(group=group[leaf], tile=x["turn"].to_numpy() % tiles[leaf]).drop(columns="turn")
 
-    def scan(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        return _top(np.stack(q["v"].to_numpy()), q["vec_id"].to_numpy(), np.stack(x["v"].to_numpy()), x["vec_id"].to_numpy(), k)
+    asked = queries.select("vec_id", "v").dropDuplicates(["vec_id", "v"]).mapInPandas(route, f"vec_id long, v {kind}, in_group long, in_tile long, leaves array<long>")
+    held = placed.withColumn("turn", F.xxhash64("vec_id")).mapInPandas(deal, f"vec_id long, v {kind}, leaf long, group long, tile long")
 
-    pair = asked.groupBy("in_leaf", "in_tile").cogroup(held.groupBy("leaf", "tile"))
+    def scan(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})]
+        if len(q) and len(x):
+            qid, qv, xid, xv, leaf = q["vec_id"].to_numpy(), matrix(q["v"]), x["vec_id"].to_numpy(), matrix(x["v"]), x["leaf"].to_numpy()
+            asks: dict[int, list[int]] = {}
+            for i, leaves in enumerate(q["leaves"]):
+                for b in leaves:
+                    asks.setdefault(b, []).append(i)
+            for b, i in asks.items():
+                mine = leaf == b
+                if mine.any():
+                    found.append(_top(qv[i], qid[i], xv[mine], xid[mine], k))
+        return _best(pd.concat(found, ignore_index=True), k)
+
+    pair = asked.groupBy("in_group", "in_tile").cogroup(held.groupBy("group", "tile"))
     found = pair.applyInPandas(scan, "query_id long, vec_id long, score double")
     return _merged(found.distinct(), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def matrix(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy()).astype(float)
+
+
+def _tasks(leaves: list[int], group: np.ndarray, tiles: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+    """(group, tile, leaves) of the tasks that a visit to these leaves takes."""
+    found: dict[tuple[int, int], list[int]] = {}
+    for b in leaves:
+        for t in range(tiles[b]):
+            found.setdefault((int(group[b]), t), []).append(b)
+    for (g, t), own in found.items():
+        yield g, t, own
+
+
+def _best(x: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of each query's different (vec_id, score) rows."""
+    x = x.drop_duplicates().sort_values(["query_id", "score", "vec_id"], ignore_index=True)
+    return x[x.groupby("query_id").cumcount() < k]
+
+
+def _first(rows: DataFrame, n: int, seed: int) -> pd.DataFrame:
+    """The n ids of the smallest hashes with one vector each; copies are dropped before any row is collected."""
+    turn = F.xxhash64("vec_id", F.lit(seed)).alias("turn")
+    ids = rows.select("vec_id", turn).distinct().orderBy("turn", "vec_id").limit(n)
+    last = ids.agg(F.max("turn").alias("turn")).first()["turn"]
+    if last is None:
+        return pd.DataFrame({"vec_id": [], "v": []})
+    mine = rows.select("vec_id", turn, "v").where(F.col("turn") <= last).groupBy("turn", "vec_id").agg(F.min("v").alias("v"))
+    return mine.orderBy("turn", "vec_id").limit(n).select("vec_id", "v").toPandas()
+
+
 def _visits(placed: DataFrame, tree: Tree, probe: pd.DataFrame, k: int, recall: float) -> int:
     """Leaves to visit so that `recall` of the probes' exact answers lie in visited leaves."""
-    exact = _exact(placed, probe["vec_id"].to_numpy(), np.stack(probe["v"].to_numpy()), k)
+    exact = _exact(placed, probe["vec_id"].to_numpy(), matrix(probe["v"]), k)
     # probes x k rows: their leaves come by a join with a bounded broadcast
     spark = placed.sparkSession
     wanted = spark.createDataFrame(exact[["vec_id"]].drop_duplicates(), "vec_id long")
-    leaf = placed.join(F.broadcast(wanted), "vec_id").select("vec_id", "leaf").toPandas().drop_duplicates("vec_id").set_index("vec_id")["leaf"]
+    leaf = placed.join(F.broadcast(wanted), "vec_id").groupBy("vec_id").agg(F.min("leaf").alias("leaf")).toPandas().set_index("vec_id")["leaf"]
     need = []
     for qid, v in zip(probe["vec_id"], probe["v"]):
-        order = {b: i + 1 for i, b in enumerate(best_bins(tree, np.asarray(v), tree.leaves))}
+        order = {b: i + 1 for i, b in enumerate(best_bins(tree, np.asarray(v, float), tree.leaves))}
         need += [order[leaf[x]] for x in exact.loc[exact["query_id"] == qid, "vec_id"]]
     return int(np.quantile(need, recall, method="higher")) if need else 1

@@ -9,13 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.llm.common import components, roots, salted_join, written
 
-#: Rows of one comparison tile.
-TILE = 2048
-#: Projections whose windows also cut the table into cells.
-GRID = 2
+#: Rows of a tile, about: the rows of a label come in tiles along the first projection.
+TILE = 4096
+#: Bins of the first projection's histogram, from which tiles are cut.
+BINS = 4096
 
 
 def projections(dim: int, n: int, seed: int = 7) -> np.ndarray:
@@ -26,12 +27,12 @@ def projections(dim: int, n: int, seed: int = 7) -> np.ndarray:
 
 
 def calibrate(dim: int, cosine: float, n: int, miss: float) -> tuple[float, float, int]:
-    """(grid half width, window half width, least collisions) for pairs at the threshold.
+    """(reach of a tile, window half width, least collisions) for pairs at the threshold.
 
     The gap of such a pair along a random direction has standard deviation s = sqrt(2 - 2 cosine) / sqrt(dim), about
     normal. A window of 2.5 s holds it with probability p, so the count of n windows is binomial; the least
-    count is the largest whose chance to miss is below `miss`. The grid's window is 4.5 s, or the whole gap if
-    that is smaller (then nothing can be missed). Closer pairs collide more often.
+    count is the largest whose chance to miss is below `miss`. Tiles further apart than 4.5 s, or than the whole gap if
+    that is smaller (then nothing can be missed), do not meet. Closer pairs collide more often.
     """
     gap = math.sqrt(max(0.0, 2 - 2 * cosine)) * (1 + 1e-9) + 1e-12
     s = gap / math.sqrt(dim)
@@ -61,73 +62,62 @@ def unit(batch: pd.Series) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(at, int), out
 
 
-def _cells(cosine: float, n: int, miss: float, seed: int):
-    """A row per cell that the vector is in: its own (home) and, as a query's copy, those its grid window reaches into."""
+def _placed(cosine: float, n: int, miss: float, seed: int):
+    """Each usable vector with its length, its place along the first projection as a bin, and the bins that a tile reaches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, tuple] = {}
         for x in batches:
             at, vectors = unit(x["embedding"])
             dims = np.array([len(v) for v in vectors], int)
+            bins, reach = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
             for dim in np.unique(dims):
-                if dim not in known:
-                    known[dim] = projections(dim, min(GRID, dim), seed), calibrate(dim, cosine, n, miss)[0]
-                (directions, half), mine = known[dim], at[dims == dim]
-                v = np.stack([vectors[i] for i in np.flatnonzero(dims == dim)])
-                place = v @ directions
-                home = np.floor(place / (2 * half)).astype(np.int64)
-                low, high = (np.floor((place + d) / (2 * half)).astype(np.int64) for d in (-half, half))
-                frame = pd.DataFrame({"label": x["label"].to_numpy()[mine], "dim": int(dim), "cid": x["cid"].to_numpy()[mine], "n": x["n"].to_numpy()[mine], "v": list(v)})
-                seen: set[tuple] = set()
-                for choice in np.ndindex(*(2,) * home.shape[1]):
-                    cell = np.where(np.array(choice, bool), high, low)
-                    earlier = np.zeros(len(v), bool)
-                    for other in seen:
-                        earlier |= (cell == np.where(np.array(other, bool), high, low)).all(axis=1)
-                    seen.add(choice)
-                    yield frame.assign(cell=_names(cell), home=(cell == home).all(axis=1))[~earlier]
+                mine = np.flatnonzero(dims == dim)
+                place = np.stack([vectors[i] for i in mine]) @ projections(dim, n, seed)[:, 0]
+                bins[mine] = np.floor((place + 1) * (BINS / 2))
+                reach[mine] = math.ceil(calibrate(dim, cosine, n, miss)[0] * BINS / 2) + 1
+            yield x.iloc[at].assign(dim=dims, bin=bins, reach=reach)
 
     return run
 
 
-def _names(cell: np.ndarray) -> np.ndarray:
-    """One long for a cell's grid coordinates."""
-    out = np.zeros(len(cell), np.int64)
-    for k in range(cell.shape[1]):
-        out = out * 2**24 + (cell[:, k] + 2**23)
-    return out
-
-
-def pairs(a: np.ndarray, b: np.ndarray, cosine: float, directions: np.ndarray, window: float, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs(a: np.ndarray, b: np.ndarray, cosine: float, directions: np.ndarray, reach: float, window: float, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of unit vectors a[i], b[j] at `cosine` or more, in blocks of i.
 
-    Every projection of b is sorted; a query a[i] collides with those in the window around its own projection.
-    Pairs outside of more windows than n - least are dropped as they fall behind, the rest are verified.
+    Every projection of b is sorted, and the window around a query's own projection is a range of ranks, found by
+    binary search. A pair collides where the rank lies in the range; its collisions are counted over the projections.
+    Pairs out of more windows than n - least, or out of reach on the first projection, are dropped as they fall behind, the rest are verified.
     """
-    pa, pb = a @ directions, b @ directions
+    ahead, behind = a @ directions[:, 0], directions.shape[1] - least
+    rows = np.argsort(ahead, kind="stable")  # queries of a block are neighbours, so their first windows overlap
+    cols = np.argsort(b @ directions[:, 0], kind="stable")
+    pa, pb = a[rows] @ directions, b[cols] @ directions
     n = directions.shape[1]
-    order = np.argsort(pb[:, 0], kind="stable")
-    low = np.searchsorted(pb[order, 0], pa[:, 0] - window, "left")
-    high = np.searchsorted(pb[order, 0], pa[:, 0] + window, "right")
-    behind = n - least
+    rank, low, wide = np.empty((n, len(b)), np.uint16), np.empty((n, len(a)), np.uint16), np.empty((n, len(a)), np.uint16)
+    for k in range(n):
+        order = np.argsort(pb[:, k], kind="stable")
+        rank[k, order] = np.arange(len(b))
+        lo, hi = (np.searchsorted(pb[order, k], pa[:, k] + d, side) for d, side in ((-window, "left"), (window, "right")))
+        low[k], wide[k] = lo, hi - lo
     for s in range(0, len(a), 256):
         block = slice(s, s + 256)
-        missed = np.ones((len(pa[block]), len(b)), np.uint8)  # first projection: its window is a slice of the sorted side
-        for r, (lo, hi) in enumerate(zip(low[block], high[block])):
-            missed[r, order[lo:hi]] = 0
-        k = 1
-        while k < min(n, 1 + behind + 3):  # until most pairs are out of reach, all at once
-            missed += np.abs(pa[block, k, None] - pb[None, :, k]) > window
+        first, last = np.searchsorted(pb[:, 0], [pa[block, 0].min() - reach, pa[block, 0].max() + reach])
+        part = slice(first, last)
+        missed = np.zeros((len(pa[block]), last - first), np.uint8)
+        k = 0
+        while k < min(n, behind + 4):  # until most pairs are out of reach, all at once; a rank below the range wraps round
+            missed += (rank[k, part] - low[k, block, None]) >= wide[k, block, None]
             k += 1
         i, j = np.nonzero(missed <= behind)
-        count = missed[i, j]
+        count = missed[i, j].astype(int)
+        j, i = j + first, i + s
         while k < n and len(i):
-            count = count + (np.abs(pa[block][i, k] - pb[j, k]) > window)
+            count = count + ((rank[k, j] - low[k, i]) >= wide[k, i])
             keep = count <= behind
             i, j, count = i[keep], j[keep], count[keep]
             k += 1
+        i, j = rows[i], cols[j]
         for t in range(0, len(i), 1 << 16):
-            p, q = i[t : t + (1 << 16)] + s, j[t : t + (1 << 16)]
+            p, q = i[t : t + (1 << 16)], j[t : t + (1 << 16)]
             keep = np.einsum("ij,ij->i", a[p], b[q]) >= cosine
             yield p[keep], q[keep]
 
@@ -151,8 +141,8 @@ def near_duplicates(
     between classes count size by size and copies count each other. Rows that repeat an id are vectors of
     their own. A row with a null id links with nothing. An empty table gives no rows. Other columns are not carried.
 
-    Classes are dealt to cells of two projections' windows; cells above TILE rows are dealt into tiles and pairs
-    of tiles. A task returns a row per linked class (its link count and forest root), never the pairs.
+    The classes of a label are cut into tiles of about TILE rows along the first projection, and only tiles within the
+    reach of a pair at the threshold meet; vectors travel as they are. A task returns a row per linked class (its link count and forest root), never the pairs.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
     keys = [F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2")]
@@ -168,37 +158,44 @@ def near_duplicates(
     # classes that differ only by id clash (one id, two vectors) are told apart by their key
     mine = mine.select("label", F.xxhash64("label", "k1", "k2").alias("key"), "n", "embedding").dropDuplicates(["key"])
     named = mine.select("label", F.col("key").alias("cid"), "n", "embedding")
-    kind = rows.schema["label"].dataType.simpleString()
-    cells = named.mapInPandas(_cells(cosine, n_projections, miss, seed), f"label {kind}, dim int, cid long, n long, v array<double>, cell long, home boolean")
-    cells = written(cells, "embed-cells")
-    at = ["label", "dim", "cell"]
-    sizes = cells.groupBy(*at).agg(F.sum(F.col("home").cast("long")).alias("here"), F.count("*").alias("all")).where("here > 0 and all > 1")
-    sizes = written(sizes.select(*at, F.ceil(F.col("all") / TILE).cast("int").alias("tiles")), "embed-sizes")
-    # home rows of tile t meet all rows of tile o; each pair of home rows meets once, t <= o
-    dealt = salted_join(cells, sizes, at, "cid", salts=4)
-    dealt = dealt.withColumn("t", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    as_home = dealt.where("home").select(*at, "cid", "n", "v", F.lit(True).alias("query"), "home", F.col("t").alias("ta"), F.col("o").alias("tb"))
-    as_other = dealt.select(*at, "cid", "n", "v", F.lit(False).alias("query"), "home", F.col("o").alias("ta"), F.col("t").alias("tb"))
-    tasks = as_home.union(as_other).groupBy(*at, "ta", "tb")
+    vector, kind = rows.schema["embedding"].dataType.simpleString(), rows.schema["label"].dataType.simpleString()
+    placed = named.mapInPandas(_placed(cosine, n_projections, miss, seed), f"label {kind}, cid long, n long, embedding {vector}, dim int, bin long, reach long")
+    placed = written(placed, "embed-rows")
+    # Tiles are runs of bins; a bin above TILE rows is dealt into several.
+    of = ["label", "dim"]
+    before = F.sum("count").over(Window.partitionBy(*of).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = placed.groupBy(*of, "bin", "reach").count().select(*of, "bin", "reach", F.ceil(F.col("count") / TILE).alias("parts"), F.floor(F.coalesce(before, F.lit(0)) / TILE).alias("first"))
+    bins = written(bins, "embed-bins")
+    tiled = salted_join(placed, bins.drop("reach"), [*of, "bin"], "cid", salts=4)
+    tiled = tiled.withColumn("tile", F.col("first") + F.pmod(F.xxhash64("cid", F.lit(3)), F.col("parts")))
+    own = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("tile")
+    tiles = bins.select(*of, "bin", "reach", own).groupBy(*of, "tile").agg(F.min("bin").alias("low"), F.max("bin").alias("high"), F.max("reach").alias("reach"))
+    tiles = written(tiles, "embed-tiles")
+    other = tiles.select(*of, F.col("tile").alias("tb"), F.col("low").alias("from"), F.col("high").alias("upto"))
+    met = tiles.join(other, of).where("tb >= tile and from - high <= reach and low - upto <= reach").select(*of, F.col("tile").alias("ta"), "tb")
+    met = written(met, "embed-met")
+    visits = met.select(*of, F.col("ta").alias("tile"), "ta", "tb").union(met.where("ta <> tb").select(*of, F.col("tb").alias("tile"), "ta", "tb"))
+    tasks = tiled.join(visits, [*of, "tile"]).select(*of, "ta", "tb", "tile", "cid", "n", "embedding").groupBy(*of, "ta", "tb")
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        cid, n, query, home = (x[c].to_numpy() for c in ("cid", "n", "query", "home"))
-        a, b = np.flatnonzero(query), np.flatnonzero(~query)
+        cid, n = (x[c].to_numpy() for c in ("cid", "n"))
+        alone = x["ta"].iloc[0] == x["tb"].iloc[0]
+        mine = (x["tile"] == x["ta"]).to_numpy()
+        a, b = np.flatnonzero(mine), np.arange(len(x)) if alone else np.flatnonzero(~mine)
         if not len(a) or not len(b):
             return pd.DataFrame({"cid": [], "links": [], "root": []}).astype("int64")
         dim = int(x["dim"].iloc[0])
-        _, window, least = calibrate(dim, cosine, n_projections, miss)
-        v = np.stack(x["v"].to_numpy())
+        how = calibrate(dim, cosine, n_projections, miss)
+        v = np.stack(unit(x["embedding"])[1])
         total = np.zeros(len(x), np.int64)
         p_all, q_all = [], []
-        for i, j in pairs(v[a], v[b], cosine, projections(dim, n_projections + min(GRID, dim), seed)[:, min(GRID, dim) :], window, least):
+        for i, j in pairs(v[a], v[b], cosine, projections(dim, n_projections, seed), *how):
             i, j = a[i], b[j]
-            # A pair of home rows is met from both sides: it counts for the query's side each time. A pair
-            # over a cell border is met in both rows' home cells, each time with the home row as query.
-            keep = cid[i] != cid[j]
-            i, j = i[keep], j[keep]
+            if alone:  # a pair is met from both sides
+                keep = i < j
+                i, j = i[keep], j[keep]
             np.add.at(total, i, n[j])
+            np.add.at(total, j, n[i])
             node, root = roots(cid[i], cid[j])
             p_all.append(node)
             q_all.append(root)

@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.llm.common import written
 from gridloom.llm.mixing import words
 
-#: Lengths up to this are histogram bins of their own; longer ones share bins of 1/4096 of their size.
-EXACT = 8192
 #: Rows that one numbering task gets, about.
 SHARD = 4096
 
 
-def bin_of(n: Column) -> Column:
-    width = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 12).cast("long")
-    return F.when(n <= EXACT, n).otherwise(F.floor(n / F.greatest(width, F.lit(1))).cast("long") * F.greatest(width, F.lit(1)))
-
-
 def boundaries(histogram: list[tuple[int, int, int]], k: int) -> list[int]:
-    """At most k upper lengths that minimise padding. histogram: (length, rows, sum of lengths) by ascending length.
+    """At most k upper lengths that minimise padding, exactly. histogram: (length, rows, sum of lengths) by ascending length.
 
     Dynamic programming: cost[j] = min over i < j of before[i] + length[j] * (rows i..j) - (sum i..j). The terms
     in i are lines in length[j] with falling slopes, so their lower hull gives each minimum in constant time.
@@ -81,9 +74,9 @@ def pack(docs: DataFrame, *, buckets: int = 12, max_tokens: int = 32_768, seed:
     size = F.coalesce(F.col(length_col).cast("long"), F.lit(0).cast("long")) if length_col else words(F.col(text_col))
     turn = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     rows = written(docs.select(F.col(id_col).alias("id"), F.greatest(size, F.lit(0)).alias("n_tokens"), turn.alias("turn")), "pack-rows")
-    # The bins bound what reaches the driver: EXACT, and 4096 for each doubling of the length beyond.
-    bins = rows.groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("sum"))
-    histogram = sorted((r["top"], r["n"], r["sum"]) for r in bins.collect())
+    # One row per different length, which grows with the longest text and not with the rows.
+    bins = rows.groupBy("n_tokens").agg(F.count("*").alias("n"))
+    histogram = sorted((r["n_tokens"], r["n"], r["n_tokens"] * r["n"]) for r in bins.toLocalIterator())
     tops = boundaries(histogram, buckets)
     if not tops:
         empty = F.lit(0).cast("long")

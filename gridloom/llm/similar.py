@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, salted_join, trimmed, whole_groups, written
+from gridloom.llm.common import components, discard, salted_join, trimmed, whole_groups, written
 from gridloom.llm.simhash import distance, majorities, pivots, shingle_hashes
 
 #: Fingerprints of a set: the first is compared, the bits of the others make the band keys.
@@ -210,7 +210,9 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, key: Column,
             yield x.loc[keep, ["a", "b"]]
 
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return written(both.select("a", "b", "text_a", "text_b").mapInPandas(trimmed(run), "a long, b long"), f"{name}-links")
+    links = written(both.select("a", "b", "text_a", "text_b").mapInPandas(trimmed(run), "a long, b long"), f"{name}-links")
+    discard(pairs, want, texts)
+    return links
 
 
 def keep_first(

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import salted_join
-
 
 def host(url: Column) -> Column:
     """Lower-case host of a URL without user, port and final dot; null where there is none."""
@@ -27,7 +25,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     An entry holds from its day until the next entry of its pattern; 'remove' ends one and starts none.
     Of one pattern's entries on one day the last action in code-point order holds. Entries with a null
-    in any of the three columns are void.
+    in any of the three columns are void; rows that repeat one change nothing, other columns are not read. No entries give no intervals.
     """
     one = entries.where("pattern is not null and action is not null and day is not null")
     one = one.groupBy(F.lower("pattern").alias("pattern"), "day").agg(F.max("action").alias("action"))
@@ -38,16 +36,21 @@ def intervals(entries: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id", url_col: str = "url", day_col: str = "day", salts: int = 16) -> DataFrame:
     """Per capture: id, host, day, pattern, action, valid_from, valid_to, kept.
 
-    As-of join: a capture meets the entries of its host and parent domains that are active on its day;
-    the longest pattern decides, and 'block' drops the capture. A null or hostless URL or a null day meets no
-    entry and is kept. Rows that repeat an id, URL and day come out once with one decision, in as many copies
-    as came in. Hot hosts are dealt to `salts` tasks.
+    As-of join: captures and the starts of intervals come in one order of days, and a capture takes the last interval of
+    each of its patterns - host and parent domains - that began by its day, if it has not ended; the longest pattern decides, and
+    'block' drops the capture. A null or hostless URL or a null day meets no entry and is kept. Rows that repeat an id, URL and
+    day come out once with one decision, in as many copies as came in. Very long URLs are cut to their host. Without entries all
+    are kept; without captures there are no rows. Other columns are not carried. Hot hosts are dealt to `salts` tasks, each with all entries of its patterns.
     """
     rows = captures.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("host"), F.col(day_col).alias("day"))
     rows = rows.groupBy("id", "host", "day").agg(F.count("*").alias("_copies"))
-    keys = rows.where("host is not null and day is not null").select("id", "host", "day", F.explode(suffixes(F.col("host"))).alias("pattern"))
-    met = salted_join(keys, intervals(entries), ["pattern"], "id", salts=salts)
-    met = met.where("day >= valid_from and (valid_to is null or day < valid_to)")
+    salt = F.pmod(F.xxhash64("id", "day"), F.lit(salts)).cast("int").alias("_salt")
+    keys = rows.where("host is not null and day is not null").select("id", "host", "day", salt, F.explode(suffixes(F.col("host"))).alias("pattern"))
+    starts = intervals(entries).select("pattern", F.col("valid_from").alias("day"), F.struct("action", "valid_from", "valid_to").alias("entry"))
+    starts = starts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    order = Window.partitionBy("pattern", "_salt").orderBy("day", F.col("entry").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = keys.unionByName(starts, allowMissingColumns=True).withColumn("entry", F.last("entry", ignorenulls=True).over(order))
+    met = met.where("host is not null and entry is not null and (entry.valid_to is null or day < entry.valid_to)").select("id", "host", "day", "pattern", "entry.*")
     best = F.max_by(F.struct("pattern", "action", "valid_from", "valid_to"), F.length("pattern")).alias("_best")
     best = met.groupBy(F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("day").alias("_day")).agg(best)
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("host") == F.col("_host")) & (F.col("day") == F.col("_day"))

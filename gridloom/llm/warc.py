@@ -25,6 +25,8 @@ SEGMENT = 16_384
 CHUNK = 4096
 #: Compressed bytes after which the next archive file begins.
 FILE = 64 << 20
+#: Tasks that read archives, at most.
+READERS = 20_000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -186,7 +188,9 @@ def read_records(files: DataFrame, folder: str) -> DataFrame:
         if rows:
             yield pd.DataFrame(rows, columns=NAMES).astype(TYPES)
 
-    return files.select("path").repartition("path").mapInPandas(run, RECORD)
+    # a number of its own, which adaptive execution does not merge: each task reads a few files
+    tasks = files.agg(F.count("path")).first()[0]
+    return files.select("path").repartition(max(1, min(tasks, READERS))).mapInPandas(run, RECORD)
 
 
 NAMES = [x.split()[0] for x in RECORD.split(", ")]
@@ -211,23 +215,25 @@ def reassemble(found: DataFrame) -> DataFrame:
 
     Segments are grouped by their origin's id and ordered by number; numbers must run without a gap to the one
     that states the total length, which must be that of the joined block, and the payload's digest must be the stated
-    one - else the query fails. A group is one record's segments; copies of a record share id and segments.
+    one - else the query fails. Records that share an id, as repeated rows and null ids of one payload do, are put together
+    once, from one copy of each segment, and give a row for each copy of the first.
     """
     whole = found.where("type = 'response' and number is null").select("page_id", "payload_bytes", "sha1", "digest")
 
     def join(x: pd.DataFrame) -> pd.DataFrame:
-        first = x[x["type"] == "response"]
-        x = x.drop_duplicates("number").sort_values("number")
-        block = b"".join(x["block"])
-        total = x["total"].iloc[-1]
+        x = x.sort_values("number")
+        block, total = b"".join(x["block"]), x["total"].iloc[-1]
         if list(x["number"]) != list(range(1, len(x) + 1)) or pd.isna(total) or int(total) != len(block):
             raise ValueError(f"segments of {x['record_id'].iloc[0]} are not whole")
         payload = payload_of(block)
-        out = first[["page_id", "digest"]].assign(payload_bytes=len(payload), sha1=hashlib.sha1(payload).hexdigest())
-        return out[["page_id", "payload_bytes", "sha1", "digest"]].astype({"page_id": "Int64"})
-
-    parts = found.where("number is not null").select("record_id", "page_id", "type", "digest", "number", "total", "block")
-    joined = parts.groupBy("record_id").applyInPandas(join, "page_id long, payload_bytes long, sha1 string, digest string")
+        return pd.DataFrame({"record_id": [x["record_id"].iloc[0]], "payload_bytes": [len(payload)], "sha1": [hashlib.sha1(payload).hexdigest()]})
+
+    # copies of a segment fall together in the tasks that read them, before they are dealt out
+    parts = found.where("number is not null").groupBy("record_id", "number").agg(F.max("total").alias("total"), F.any_value("block").alias("block"))
+    joined = parts.groupBy("record_id").applyInPandas(join, "record_id string, payload_bytes long, sha1 string")
+    heads = found.where("number is not null and type = 'response'").select("record_id", "page_id", "digest")
+    # a head of every record and no other; joined has one row for an id, so hot ids are dealt to several tasks
+    joined = salted_join(heads.withColumn("turn", F.monotonically_increasing_id()), joined, ["record_id"], "turn").select("page_id", "payload_bytes", "sha1", "digest")
     checked = whole.union(joined)
     wrong = F.raise_error(F.concat(F.lit("payload digest differs on page "), F.col("page_id").cast("string")))
     return checked.select("page_id", "payload_bytes", F.when(F.col("sha1") == F.col("digest"), F.col("digest")).otherwise(wrong).alias("digest"))

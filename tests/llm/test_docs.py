@@ -164,6 +164,7 @@ def test_warc_round_trip(spark):
     long = "".join(rng.choice("abcdé\r\n\x00") for _ in range(90_000))
     html = ["x" * 999, "y" * 1000, "é" * 500, None, "", long, "z" * 40_000, "WARC/1.1\r\n\r\n" * 100]
     rows = [(i, f"http://h/{i} \r\nx", html[i % len(html)]) for i in range(60)] + [(None, None, "y" * 1000), (3, "u", None), (59, "v", html[59 % len(html)])]
+    rows += [(None, None, "w" * 30_000)] * 3 + [(70, "u", "q" * 30_000)] * 4  # in segments, all of one record id
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).repartition(3)
     got = warc.round_trip(pages, segment=5000, file_bytes=20_000).collect()
     keeper = {}
@@ -184,10 +185,9 @@ def test_warc_round_trip(spark):
 
 
 def test_lost_segments_are_noticed(spark):
-    folder = "file:///tmp"
     block = warc.HTTP + warc.chunked(b"q" * 3000)
     rows = [("o", 1, "response", None, hashlib.sha1(b"q" * 3000).hexdigest(), 1, None, None, None, block[:1000]), ("o", None, "continuation", None, None, 3, len(block), None, None, block[2000:])]
-    assert folder and len(block) > 2000
+    assert len(block) > 2000
     with pytest.raises(Exception, match="not whole"):
         warc.reassemble(spark.createDataFrame(rows, warc.RECORD)).collect()
 
@@ -225,6 +225,40 @@ def test_notices_before_a_better_one_are_reported():
         assert spans == want
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        was, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(was[j] + 1, row[-1] + 1, was[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_notices_equal_a_search_of_every_place():
+    rng = random.Random(6)
+    notices = {k: licenses.NOTICES[k] for k in ("gnu general public license", "mozilla public license", "all rights reserved", "apache license version 2 0")}
+    scanner = licenses.Scanner({}, notices)
+    for _ in range(40):
+        line = []
+        for _ in range(rng.randint(1, 4)):
+            chars = list(rng.choice(list(notices)))
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(chars))
+                chars[at] = rng.choice(["", "q", chars[at] + "z", chars[at]])
+            line += "".join(chars).split() + rng.choice([[], [], ["x", "public"], ["license"]])
+        found = {n: [] for n in notices}
+        for s in scanner.scan(" ".join(line))["spans"]:
+            part = " ".join(line[s["first_word"] : s["last_word"] + 1])
+            assert edits(part, s["notice"]) == s["errors"] <= len(s["notice"]) // licenses.EDIT
+            found[s["notice"]].append((s["first_word"], s["last_word"], s["errors"]))
+        for n in notices:  # whatever is within the bound meets a span that is no worse
+            for a in range(len(line)):
+                for b in range(a, min(len(line), a + 8)):
+                    part = " ".join(line[a : b + 1])
+                    if abs(len(part) - len(n)) <= len(n) // licenses.EDIT and (e := edits(part, n)) <= len(n) // licenses.EDIT:
+                        assert any(x <= b and a <= y and least <= e for x, y, least in found[n]), (line, n, part)
+
+
 def test_pigeonhole_pieces_find_every_bounded_edit():
     scanner, rng = licenses.Scanner(), random.Random(7)
     for notice, label in licenses.NOTICES.items():

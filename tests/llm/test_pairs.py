@@ -203,8 +203,12 @@ def test_collision_count_is_calibrated():
     o -= (o * a).sum(1, keepdims=True) * a
     o /= np.linalg.norm(o, axis=1, keepdims=True)
     b = 0.98 * a + np.sqrt(1 - 0.98**2) * o
-    gap = np.abs((a - b) @ embed_dedup.projections(64, 26))
-    assert ((gap[:, 2:] <= window).sum(1) >= least).mean() > 0.999 and (gap[:, :2] <= half).all(1).mean() > 0.999
+    directions = embed_dedup.projections(64, 24)
+    gap = np.abs((a - b) @ directions)
+    assert ((gap <= window).sum(1) >= least).mean() > 0.999 and (gap[:, 0] <= half).mean() > 0.999
+    found = {(int(i), int(j)) for x, y in embed_dedup.pairs(a, 1.0001 * b, 0.98, directions, half, window, least) for i, j in zip(x, y)}
+    real = {(int(i), int(j)) for i, j in zip(*np.nonzero(a @ (1.0001 * b).T >= 0.98))}
+    assert found <= real and len(found) >= 0.999 * len(real) and len(real) >= 4000
 
 
 def test_neighbours_against_brute_force(spark, monkeypatch):
