@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.sources.tables import shared_dir
+
 #: Words are runs of everything but these seven white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,18 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not found:
-        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
 
