@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.functions.scalar import class_map
 from gridloom.operators.ranks import grouped_rank
+from gridloom.sources.tables import cut
 
 
 def target_order(quotas: DataFrame) -> DataFrame:
@@ -15,26 +17,68 @@ def target_order(quotas: DataFrame) -> DataFrame:
     return quotas.where("c0 <> c1").withColumn("k", F.row_number().over(w))
 
 
+def cutoffs(rows: DataFrame, take: dict[int, int], bins: int = 4096, few: int = 20_000) -> dict[int, tuple[float, int] | None]:
+    """For each c0 of take the (p, cell_id) of the last of its `take` rows by descending p, then cell_id; None where all rows fit.
+
+    rows: (c0, p, cell_id), p in 0..1. Histograms narrow the place down until at most `few` rows of a class are left, which come to the driver; where
+    more agree in p, ranges number them.
+    """
+    found, open_ = {}, {k: (0.0, 1.0 + 1e-9, 0) for k, n in take.items() if n}
+    while open_:
+        low, wide = (class_map(F.col("c0"), {k: f(v) for k, v in open_.items()}, None) for f in (lambda v: v[0], lambda v: (v[1] - v[0]) / bins))
+        at = F.when(F.col("c0").isin(*open_), F.floor((F.col("p") - low) / wide))
+        counts: dict[int, dict[int, int]] = {k: {} for k in open_}
+        for r in rows.select("c0", at.alias("at")).where(F.col("at").between(0, bins - 1)).groupBy("c0", "at").count().collect():  # bins by class at most
+            counts[r["c0"]][r["at"]] = r["count"]
+        border = {}
+        for k, (start, end, above) in open_.items():
+            for b in sorted(counts[k], reverse=True):
+                if above + counts[k][b] >= take[k]:
+                    border[k] = (b, start + b * (end - start) / bins, start + (b + 1) * (end - start) / bins, above, counts[k][b])
+                    break
+                above += counts[k][b]
+            else:
+                found[k] = None
+        small = {k: v for k, v in border.items() if v[4] <= few}
+        if small:
+            mine = class_map(F.col("c0"), {k: float(v[0]) for k, v in small.items()}, None)
+            got: dict[int, list] = {k: [] for k in small}
+            for r in rows.select("c0", "p", "cell_id", at.cast("double").alias("at")).where(F.col("at") == mine).collect():
+                got[r["c0"]].append((-r["p"], r["cell_id"]))
+            for k, v in small.items():
+                p, cell = sorted(got[k])[take[k] - v[3] - 1]
+                found[k] = (-p, cell)
+        large = {k: v for k, v in border.items() if k not in small}
+        flat = {k: v for k, v in large.items() if v[2] - v[1] < 1e-12}
+        for k, v in flat.items():
+            mine = rows.where((F.col("c0") == k) & (F.floor((F.col("p") - open_[k][0]) / ((open_[k][1] - open_[k][0]) / bins)) == v[0]))
+            r = grouped_rank(mine, "c0", [F.desc("p"), F.col("cell_id")], "_rank").where(F.col("_rank") == take[k] - v[3]).first()
+            found[k] = (r["p"], r["cell_id"])
+        open_ = {k: v[1:4] for k, v in large.items() if k not in flat}
+    return found
+
+
 def allocate(cells: DataFrame, quotas: DataFrame, share: float, classes: int = 6) -> DataFrame:
     """cells after one iteration. cells: (cell_id, c0, cur, moved, prob); quotas: (c0, c1, q).
 
     Each target takes the unmoved cells of its origin with the highest probability, ties by cell_id: ceil(share * q) of them, at most q,
-    or all that are left. A cell has one origin, so origins do not meet: round k serves the k-th target of all origins at once. Ranks are
-    dealt out by ranges, so an origin with most of the cells is no single task.
+    or all that are left. A cell has one origin, so origins do not meet: round k serves the k-th target of all origins at once. A round finds
+    the place where each target's taking ends (cutoffs()); which cells are taken is then a condition on the cell alone, without a join.
     """
-    order = target_order(quotas).withColumn("take", F.least(F.ceil(F.col("q") * share), F.col("q"))).where("take > 0").checkpoint()
-    cells, taken = cells.checkpoint(), None  # five rounds read it
-    for k in range(1, classes):
-        mine = F.broadcast(order.where(F.col("k") == k).select(F.col("c0").alias("_c0"), F.col("c1").alias("_c1"), "take"))  # classes rows at most
-        rows = cells.where("not moved").join(mine, F.col("c0") == F.col("_c0"))
-        rows = rows.select("cell_id", "c0", "_c1", "take", F.get("prob", F.col("_c1") - 1).alias("_p"))
-        if taken is not None:
-            rows = rows.join(taken, "cell_id", "left_anti")
-        ranked = grouped_rank(rows, "c0", [F.desc("_p"), F.col("cell_id")], "_rank")
-        hit = ranked.where("_rank <= take").select("cell_id", "_c1")
-        taken = hit if taken is None else taken.union(hit)
-    out = cells.join(taken, "cell_id", "left").withColumn("cur", F.coalesce("_c1", "cur"))
-    return out.withColumn("moved", F.col("moved") | F.col("_c1").isNotNull()).select(*cells.columns)
+    order = target_order(quotas).withColumn("take", F.least(F.ceil(F.col("q") * share), F.col("q"))).where("take > 0").collect()  # classes squared rows
+    cells, target = cut(cells), F.lit(None).cast("int")  # five rounds read it
+    for k in sorted({r["k"] for r in order}):
+        mine = {r["c0"]: r for r in order if r["k"] == k}
+        p = F.get("prob", class_map(F.col("c0"), {c0: r["c1"] - 1 for c0, r in mine.items()}, None).cast("int"))
+        left = cells.where(~F.col("moved") & target.isNull() & F.col("c0").isin(*mine))
+        ends = cutoffs(left.select("c0", F.coalesce(p, F.lit(0.0)).alias("p"), "cell_id"), {c0: r["take"] for c0, r in mine.items()})
+        for c0, r in mine.items():
+            got = F.coalesce(F.get("prob", F.lit(r["c1"] - 1)), F.lit(0.0))
+            within = F.lit(True) if ends.get(c0) is None else (got > ends[c0][0]) | ((got == ends[c0][0]) & (F.col("cell_id") <= ends[c0][1]))
+            target = F.coalesce(target, F.when((F.col("c0") == c0) & within, r["c1"]))
+    rest = [c for c in cells.columns if c not in ("cur", "moved")]
+    taken = cells.withColumn("_t", F.when(~F.col("moved"), target))
+    return taken.select(*rest, F.coalesce("_t", "cur").alias("cur"), (F.col("moved") | F.col("_t").isNotNull()).alias("moved")).select(*cells.columns)
 
 
 def left_over(before: DataFrame, after: DataFrame, quotas: DataFrame) -> DataFrame:

@@ -28,15 +28,15 @@ def decades(periods: list[str]) -> list[tuple[str, str]]:
 
 
 def decade_argmax(counts: DataFrame, gain: tuple[int, ...] = (4, 5), loss: int = 1) -> DataFrame:
-    """The decade (pair of consecutive periods) of the largest net gain of classes `gain` and of the largest gross loss of class `loss`.
+    """The decade (pair of consecutive periods) of the largest net gain of classes `gain` and of the largest net loss of class `loss`.
 
+    A class has at a decade's start the row total of its first period, at its end the column total of its second.
     counts: (period, c0, c1, n). One row: gain_period, gain, loss_period, loss - each decade named by its first period; ties go to the first.
     """
-    grown = F.when(F.col("c1").isin(*gain), F.col("n")).otherwise(0) - F.when(F.col("c0").isin(*gain), F.col("n")).otherwise(0)
-    lost = F.when((F.col("c0") == loss) & (F.col("c1") != loss), F.col("n")).otherwise(0)
-    per = counts.groupBy("period").agg(F.sum(grown).alias("g"), F.sum(lost).alias("l"))
-    w = Window.orderBy("period")
-    pair = per.select("period", (F.col("g") + F.lead("g").over(w)).alias("g"), (F.col("l") + F.lead("l").over(w)).alias("l")).where("g is not null")
+    held = lambda c, of: F.sum(F.when(F.col(c).isin(*of), F.col("n")).otherwise(0))
+    per = counts.groupBy("period").agg(held("c0", gain).alias("g0"), held("c1", gain).alias("g1"), held("c0", (loss,)).alias("l0"), held("c1", (loss,)).alias("l1"))
+    later = lambda c: F.lead(c).over(Window.orderBy("period"))  # noqa: E731  a row per five years
+    pair = per.select("period", (later("g1") - F.col("g0")).alias("g"), (F.col("l0") - later("l1")).alias("l")).where("g is not null")
     first = lambda m: F.max_by("period", F.struct(F.col(m), -F.unix_date(F.make_date(F.col("period"), F.lit(1), F.lit(1)))))
     return pair.agg(first("g").alias("gain_period"), F.max("g").alias("gain"), first("l").alias("loss_period"), F.max("l").alias("loss"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.sampling import turn
+from gridloom.sources.tables import cut
 
 
 @dataclass
@@ -121,7 +122,7 @@ def importance(samples: DataFrame, names: list[str], net: Network, *, label: str
     from pyspark.sql.window import Window
 
     rows = samples.where("split = 'test'").orderBy(turn(F.col("cell_id")), "cell_id").limit(cap)
-    rows = rows.withColumn("_i", F.row_number().over(Window.orderBy("cell_id"))).checkpoint()
+    rows = cut(rows.withColumn("_i", F.row_number().over(Window.orderBy("cell_id"))))
     loss = lambda d: score(d, names, net).agg(F.avg(-F.log(F.greatest(F.get("prob", F.col(label) - 1), F.lit(1e-15)))).alias("loss"))
     base, out = loss(rows).withColumnRenamed("loss", "_base"), None
     for k, name in enumerate(names):

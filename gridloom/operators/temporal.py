@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.functions import scalar
+from gridloom.grid import Grid
+from gridloom.operators.focal import resample_bilinear
+
 
 def trailing_any(burned: DataFrame, years: int = 5, first_year: int = 1985, value: str = "burned") -> DataFrame:
     """(cell_id, year, any): 1 if value > 0 in the year or one of the years - 1 before; null counts as 0."""
@@ -42,17 +46,19 @@ def observations(sensors: list[DataFrame], first: int, last: int, months: tuple[
     return out
 
 
-def gap_filled(obs: DataFrame, years: list[int], windows: list[tuple[int, int]], last_year: int, values: list[str], level_by: str) -> DataFrame:
-    """(cell_id, year, values, level): per value the mean over the first window around the year that has one.
+def gap_filled(obs: DataFrame, years: list[int], windows: list[tuple[int, int]], last_year: int, values: list[str], level_by: str, cells: DataFrame | None = None) -> DataFrame:
+    """(cell_id, year, values, level) of every cell and year: per value the mean over the first window around the year that has one.
 
     obs: (cell_id, year, values). Window (before, after) of year t covers [t + before, min(t + after, last_year)]. level is the first
-    window with level_by, else 255. The windows are a few literal rows, so the range join is a broadcast over pre-averaged
+    window with level_by, else 255, as for cells without any observation. cells: those wanted, by default all of obs. The windows are a few literal rows, so the range join is a broadcast over pre-averaged
     yearly sums.
     """
     spark = obs.sparkSession
     sums = obs.groupBy("cell_id", F.col("year").alias("_y")).agg(*[F.sum(v).alias(f"_s_{v}") for v in values], *[F.count(v).alias(f"_n_{v}") for v in values])
     spans = spark.createDataFrame([(y, k, y + a, min(y + b, last_year)) for y in years for k, (a, b) in enumerate(windows)], "year int, _k int, _lo int, _hi int")
     met = sums.join(F.broadcast(spans), F.col("_y").between(F.col("_lo"), F.col("_hi")))
+    blank = (obs if cells is None else cells).select("cell_id").distinct().select("cell_id", F.explode(F.array(*map(F.lit, years))).alias("year"))
+    met = met.drop("_y", "_lo", "_hi").unionByName(blank, allowMissingColumns=True)
     pick = lambda v, k, c: F.sum(F.when(F.col("_k") == k, F.col(f"_{c}_{v}")))
     mean = lambda v, k: F.try_divide(pick(v, k, "s"), pick(v, k, "n"))
     n = len(windows)
@@ -108,11 +114,38 @@ def co_register(base: DataFrame, layers: dict[str, DataFrame], names: list[str],
     return out.select(*base.columns, *names)
 
 
-def names_of(static: list[str], dynamic: list[str], scenario: str, classes: int = 6) -> list[str]:
-    """Predictor columns: scenario C1 has no dynamic ones, C2 has all."""
-    shared = [f"nbr_{k}" for k in range(1, classes + 1)] + [f"oh_{k}" for k in range(1, classes + 1)]
-    return [*static, *(dynamic if scenario == "C2" else []), *shared]
+def precipitation(layers: DataFrame, wanted: list[int], instead: Mapping[int, int], source: Grid, grid: Grid) -> DataFrame:
+    """(year, cell_id, v) on grid: each wanted year's layer or its substitute's, resampled bilinearly."""
+    own = substitute_year(layers, wanted, instead)
+    out = None
+    for year in wanted:
+        one = resample_bilinear(own.where(F.col("year") == year), source, grid).select(F.lit(year).alias("year"), "cell_id", "v")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def prepared(image: DataFrame, *, qa: str, bits: tuple[int, ...], red: str, nir: str, swir: str, thermal: str, scale: float, offset: float, t_scale: float, t_offset: float) -> DataFrame:
+    """image's other columns with ndvi, ndwi and lst (Celsius): scale and offset first, then indices where all three reflectances lie in 0..1,
+    the temperature where the raw value is positive; all null where a quality bit is set. Use it by transform()."""
+    clear = scalar.clear_of(F.col(qa), bits)
+    r, n, s = (scalar.scaled(F.col(c), scale, offset) for c in (red, nir, swir))
+    ok = clear & scalar.all_within([r, n, s], 0, 1)
+    warm = scalar.above(F.col(thermal), 0)
+    rest = [c for c in image.columns if c not in (qa, red, nir, swir, thermal)]
+    return image.select(
+        *rest,
+        scalar.inside(scalar.normalized_difference(n, r), ok).alias("ndvi"),
+        scalar.inside(scalar.normalized_difference(n, s), ok).alias("ndwi"),
+        scalar.inside(scalar.celsius(scalar.scaled(warm, t_scale, t_offset)), clear).alias("lst"),
+    )
+
+
+def raw_cover(codes: DataFrame, year: int, cells: DataFrame) -> DataFrame:
+    """(cell_id, code) of a year; cells without a code have 0."""
+    own = frozen_year(codes, year).select("cell_id", "code")
+    return cells.select("cell_id").join(own, "cell_id", "left").select("cell_id", F.coalesce("code", F.lit(0)).alias("code"))
 
 
-def count_if(condition: Column) -> Column:
-    return F.sum(condition.cast("long"))
+def names_for(groups: Mapping[str, list[str]], wanted: list[str]) -> list[str]:
+    """Predictor columns of a scenario: those of its groups, in order, each once."""
+    return list(dict.fromkeys(n for g in wanted for n in groups[g]))

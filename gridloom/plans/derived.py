@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import reclass_table, reclassify
 from gridloom.grid import Grid
 from gridloom.operators import vector
+from gridloom.sources.tables import shared_dir
 
 GRID = Grid("local", 30.0, 0.0, 1200.0, 50, 40)
 
@@ -26,14 +25,8 @@ RECLASS = {
 RESISTANCE = {1: 1, 2: 90, 3: 95, 4: 53, 5: 100, 6: 74}
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """A local checkpoint folder where the session names none (tests); a cluster names a shared one."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gridloom-')}")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ensure_checkpoints(spark)
+    shared_dir(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

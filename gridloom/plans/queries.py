@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from gridloom.functions import scalar
 from gridloom.operators import allocate, costpath, focal, markov, metrics, mlp, overlay, sampling, temporal, vector
 from gridloom.plans import derived, quality, simulate
 from gridloom.plans.derived import COSTS, GRID, RESISTANCE, SQL, table
-from gridloom.sources.tables import append_replace
+from gridloom.sources.tables import append_replace, cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,8 +80,8 @@ EVENTS = """with seq as (
   select ts, event_id, user_id, coalesce(list_position(['click', 'purchase', 'search', 'signup', 'view'], event_type), 0) cat from events
 ), steps as (select (day(ts) - 1) // 5 * 5 + 1990 period, cat + 1 c0, lead(cat) over (partition by user_id order by ts, event_id) + 1 c1 from seq),
 counts as (select period, c0, c1, count(*) n from steps where c1 is not null group by all),
-per as (select period, sum(case when c1 in (4, 5) then n else 0 end - case when c0 in (4, 5) then n else 0 end) g, sum(case when c0 = 1 and c1 <> 1 then n else 0 end) l from counts group by 1),
-pair as (select period, g + lead(g) over (order by period) g, l + lead(l) over (order by period) l from per qualify g is not null)
+per as (select period, sum(n) filter (where c0 in (4, 5)) g0, sum(n) filter (where c1 in (4, 5)) g1, sum(n) filter (where c0 = 1) l0, sum(n) filter (where c1 = 1) l1 from counts group by 1),
+pair as (select period, lead(g1) over (order by period) - g0 g, l0 - lead(l1) over (order by period) l from per qualify g is not null)
 """
 
 
@@ -415,10 +416,10 @@ def substitute_year(spark, sf):
 
 @query(""", spans as (select y::int as year, k, y + a lo, least(y + b, 2001) hi from range(1997, 2002) t(y) cross join (values (0, 0, 0), (1, -2, 0), (2, -4, 2)) w(k, a, b)),
 met as (select cell_id, s.year, k, avg(v) v from prices p join spans s on p.year between lo and hi group by all)
-select cell_id, year, round(coalesce(max(v) filter (where k = 0), max(v) filter (where k = 1), max(v) filter (where k = 2)), 4) v,
-coalesce(min(k) filter (where v is not null), 255)::int as level from met group by 1, 2""")
+select c.cell_id, y::int as year, round(coalesce(max(v) filter (where k = 0), max(v) filter (where k = 1), max(v) filter (where k = 2)), 4) v,
+coalesce(min(k) filter (where v is not null), 255)::int as level from cells c cross join range(1997, 2002) t(y) left join met m on m.cell_id = c.cell_id and m.year = y group by 1, 2""")
 def gapfill_level(spark, sf):
-    out = temporal.gap_filled(derived.prices(spark, sf), list(range(1997, 2002)), [(0, 0), (-2, 0), (-4, 2)], 2001, ["v"], "v")
+    out = temporal.gap_filled(derived.prices(spark, sf), list(range(1997, 2002)), [(0, 0), (-2, 0), (-4, 2)], 2001, ["v"], "v", GRID.cells(spark))
     return rounded(out, "v", digits=4)
 
 
@@ -484,7 +485,7 @@ def _net(spark, sf):
     cells = derived.maps(spark, sf).select("cell_id", F.col("c1").alias("cat"))
     found = costpath.nodes(cells, derived.owners(spark, sf), GRID.cell_ha, 0.2)
     cost = resistance_map(spark, sf)
-    return cells, cost, found, costpath.cost_from_nodes(cost, found, GRID)
+    return cells, cost, found, cut(costpath.cost_from_nodes(cost, found, GRID))
 
 
 @query("select uc_id, round(ha, 6) forest_ha from forest")
@@ -506,7 +507,7 @@ def pairwise_links(spark, sf):
 
 def _corridor(spark, sf):
     cells, cost, found, total = _net(spark, sf)
-    linked = costpath.traced(total, costpath.cheapest_pairs(total, found))
+    linked = costpath.traced(total, costpath.cheapest_pairs(total, found), GRID)
     return cells, costpath.corridors(cost, found, costpath.path_windows(linked, GRID, 100), GRID)
 
 
@@ -516,34 +517,55 @@ def corridor_area(spark, sf):
     return rounded(costpath.corridor_area(found, cells, GRID.cell_ha), "corridor_ha", "natural_ha")
 
 
-RUPTURE = """, r as (select uc_a, uc_b, count(*) filter (where c1 in (1, 2)) * 0.09 natural_ref_ha, count(*) filter (where c1 in (1, 2) and c0 not in (1, 2)) * 0.09 natural_lost_ha,
+def _renamed(sql, *names):
+    """The same CTEs under other names, for a second map."""
+    for n in names:
+        sql = re.sub(rf"\b{n}\b", f"{n}_b", sql)
+    return sql
+
+
+#: The network of the earlier map, which is held against the corridors of the later one.
+SECOND = """, surface_b as (select cell_id, r, c, c0, coalesce(cost, 100.0) cost from maps left join resist on k = c0),
+forest_b as (select o.uc_id, count(*) filter (where c0 = 1) * 0.09::double ha from owners o join maps using (cell_id) group by 1),
+nodes_b as (select cell_id, uc_id from owners join maps using (cell_id) join forest_b using (uc_id) where c0 = 1 and ha >= 0.2)
+""" + _renamed(COSTS.split(", both_ways as")[0] + "\n", "reach", "surface", "nodes", "total", "linked")
+RUPTURE = SECOND + """, r as (select uc_a, uc_b, count(*) filter (where c1 in (1, 2)) * 0.09 natural_ref_ha, count(*) filter (where c1 in (1, 2) and c0 not in (1, 2)) * 0.09 natural_lost_ha,
 count(*) filter (where c1 = 1 and c0 <> 1) * 0.09 forest_lost_ha from corridor join maps using (cell_id) group by 1, 2),
-rc as (select r.*, 100 * natural_lost_ha / nullif(natural_ref_ha, 0) rupture_pct, l.cost cost_ref, case when (r.uc_a + r.uc_b) % 4 <> 0 then l.cost * (1 + (r.uc_a * 3 + r.uc_b) / 100.0) end as cost
-  from r join linked l using (uc_a, uc_b)), rd as (select *, 100 * (cost / cost_ref - 1) cost_delta_pct from rc)
+rd as (select r.*, b.cost is not null as exists, 100 * natural_lost_ha / nullif(natural_ref_ha, 0) rupture_pct, l.cost cost_ref, b.cost as cost, 100 * (b.cost / l.cost - 1) cost_delta_pct
+  from r join linked l using (uc_a, uc_b) left join linked_b b using (uc_a, uc_b))
 """
 
 
 def _ruptures(spark, sf):
-    m = derived.maps(spark, sf)
-    _, found = _corridor(spark, sf)
-    now = F.when((F.col("uc_a") + F.col("uc_b")) % 4 != 0, F.col("cost") * (1 + (F.col("uc_a") * 3 + F.col("uc_b")) / 100.0))
-    costs = pairwise_links(spark, sf).select("uc_a", "uc_b", F.col("cost").alias("cost_ref"), now.alias("cost"))
-    return costpath.rupture(found, m.select("cell_id", F.col("c1").alias("cat")), m.select("cell_id", F.col("c0").alias("cat")), GRID.cell_ha, costs)
+    m, owners = derived.maps(spark, sf), derived.owners(spark, sf)
+    cells, found = _corridor(spark, sf)
+    later, how = m.select("cell_id", F.col("c0").alias("cat")), {"min_ha": 0.2, "size": 64}
+    own = pairwise_links(spark, sf)
+    ref = costpath.Network(own, own, cut(found), cells, own)
+    return costpath.evaluate(later, owners, GRID, RESISTANCE, ref=ref, **how).links
 
 
-@query(COSTS + RUPTURE + "select uc_a, uc_b, round(natural_ref_ha, 6) natural_ref_ha, round(natural_lost_ha, 6) natural_lost_ha, round(forest_lost_ha, 6) forest_lost_ha, round(rupture_pct, 6) rupture_pct, round(cost_delta_pct, 6) cost_delta_pct from rd", SQL)
+@query(COSTS + RUPTURE + """select uc_a, uc_b, exists, cost, round(cost_ref, 6) cost_ref, round(natural_ref_ha, 6) natural_ref_ha, round(natural_lost_ha, 6) natural_lost_ha, round(forest_lost_ha, 6) forest_lost_ha,
+round(rupture_pct, 6) rupture_pct, round(cost_delta_pct, 6) cost_delta_pct from rd""", SQL)
 def rupture(spark, sf):
-    out = _ruptures(spark, sf).drop("cost", "cost_ref")
-    return rounded(out, "natural_ref_ha", "natural_lost_ha", "forest_lost_ha", "rupture_pct", "cost_delta_pct")
+    out = _ruptures(spark, sf).select("uc_a", "uc_b", "exists", "cost", "cost_ref", "natural_ref_ha", "natural_lost_ha", "forest_lost_ha", "rupture_pct", "cost_delta_pct")
+    return rounded(out, "cost_ref", "natural_ref_ha", "natural_lost_ha", "forest_lost_ha", "rupture_pct", "cost_delta_pct")
 
 
-@query(COSTS + RUPTURE + """select uc_a % 2 as scenario, count(*) links_ref, count(cost) links_existing, round(avg(rupture_pct), 6) mean_rupture_pct, round(sum(natural_lost_ha), 6) natural_lost_ha,
+@query(COSTS + RUPTURE + """select uc_a % 2 as scenario, (select count(distinct uc_id) from nodes_b) nodes, count(*) links_ref, count(cost) links_existing, round(avg(rupture_pct), 6) mean_rupture_pct, round(sum(natural_lost_ha), 6) natural_lost_ha,
 round(sum(forest_lost_ha), 6) forest_lost_ha, round(sum(natural_ref_ha), 6) natural_ref_ha, round(avg(cost_delta_pct), 6) mean_cost_delta_pct, round(median(cost_delta_pct), 6) median_cost_delta_pct from rd group by 1""", SQL)
 def horizon_summary(spark, sf):
-    out = costpath.horizon_summary(_ruptures(spark, sf).withColumn("scenario", F.col("uc_a") % 2), ("scenario",))
+    out = costpath.horizon_summary(_ruptures(spark, sf).withColumn("scenario", F.col("uc_a") % 2), ("scenario",)).drop("links_direct")
     return rounded(out, *[c for c, t in out.dtypes if t == "double"])
 
 
+@query()
+def network_report(spark, sf):
+    """Direct links of the later map with names, lengths, crossed areas and corridors, evaluated whole."""
+    cells = derived.maps(spark, sf).select("cell_id", F.col("c1").alias("cat"))
+    return costpath.evaluate(cells, derived.owners(spark, sf), GRID, RESISTANCE, names=derived.boxes(spark, sf), min_ha=0.2).links.drop("path")
+
+
 # Overlay
 
 LINKS = """, paths as (select 1 + cell_id % 3 uc_a, 5 uc_b, cell_id from maps where r = 7 * (1 + cell_id % 3)), wide as (select 1 + cell_id % 3 uc_a, 5 uc_b, cell_id from maps where abs(r - 7 * (1 + cell_id % 3)) <= 3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import one_hot
 from gridloom.grid import Grid
-from gridloom.operators import allocate, focal, markov, metrics, sampling
-from gridloom.sources.tables import append_replace
+from gridloom.operators import allocate, focal, markov, metrics, mlp, sampling
+from gridloom.sources.tables import append_replace, cut
 
 Model = Callable[[DataFrame], DataFrame]
 
+LOG = logging.getLogger("gridloom").info
+
 CLASSES = (1, 2, 3, 4, 5, 6)
 
 
@@ -52,9 +55,11 @@ def simulate_step(
     stored: (cell_id, predictors) at the start; frozen goes before it; recompute takes the distances from the current map at once.
     model adds prob to rows with the columns names. Each iteration's state is checkpointed, so plans do not grow.
     """
+    cells, weights = cut(cells.select("cell_id", "cat")), cut(weights)
+    frozen, stored = (None if x is None else cut(x.select("cell_id", *[n for n in names if n in x.columns])) for x in (frozen, stored))
     inside = (area if area is not None else F.lit(True)) & (F.col("cat") > 0)
     valid = cells.where(inside)
-    quotas = markov.quotas(valid, matrix).checkpoint()
+    quotas = cut(markov.quotas(valid, matrix))
     state = valid.where(~F.col("cat").isin(*absorbing)).select("cell_id", F.col("cat").alias("c0"), F.col("cat").alias("cur"), F.lit(False).alias("moved"))
     for i in range(iterations):
         now = cells.join(state.select("cell_id", "cur"), "cell_id", "left").select("cell_id", F.coalesce("cur", "cat").alias("cat"))
@@ -65,8 +70,8 @@ def simulate_step(
                 have = [n for n in names if n in extra.columns and n not in rows.columns]
                 rows = rows.join(extra.select("cell_id", *have), "cell_id", "left") if have else rows
         scored = sampling.correct_priors(model(rows), weights).select("cell_id", "c0", "cur", "moved", "prob")
-        after = allocate.allocate(scored, quotas, 1 / (iterations - i)).drop("prob").checkpoint()
-        quotas = allocate.left_over(state, after, quotas).checkpoint()
+        after = cut(allocate.allocate(scored, quotas, 1 / (iterations - i)).drop("prob"))
+        quotas = cut(allocate.left_over(state, after, quotas))
         state = after
     return cells.join(state.select("cell_id", "cur"), "cell_id", "left").select("cell_id", F.coalesce("cur", "cat").alias("cat"))
 
@@ -81,14 +86,27 @@ def demand(counts: DataFrame, scenario: str, absorbing: tuple[int, ...] = (5, 6)
     return markov.markov_matrix(counts, absorbing)
 
 
-def project(cells: DataFrame, grid: Grid, model: Model, weights: DataFrame, matrices: dict[str, DataFrame], years: list[int], old: DataFrame | None = None, **how) -> tuple[DataFrame, dict]:
-    """Areas (scenario, year, class_k) of each scenario and year, and the maps. Each step starts from the last one's map; rows of the scenarios run here replace old ones."""
+def demand_matrices(counts: DataFrame, scenarios: list[str] | None = None, absorbing: tuple[int, ...] = (5, 6)) -> dict[str, DataFrame]:
+    """The matrices of the wanted demand scenarios, or of all."""
+    return {s: demand(counts, s, absorbing) for s in ("trend", "expansion", "pressure") if not scenarios or s in scenarios}
+
+
+def project(
+    cells: DataFrame, grid: Grid, model: Model, weights: DataFrame, matrices: dict[str, DataFrame], start_year: int, years: list[int], old: DataFrame | None = None,
+    sink: Callable[[str, int, DataFrame], None] | None = None, log: Callable[[str], None] = LOG, **how,
+) -> tuple[DataFrame, dict]:
+    """(areas, maps): areas (scenario, year, class_k) of the start year and every later one, and the maps by (scenario, year).
+
+    Each step starts from the last one's map; rows of the scenarios run here replace those in old. sink gets each map as it is made.
+    """
     maps = {}
     for scenario, matrix in matrices.items():
-        now = cells
+        now = maps[scenario, start_year] = cut(cells.select("cell_id", "cat"))
         for year in years:
-            now = simulate_step(now, grid, model, weights, matrix, recompute=True, **how).checkpoint()
-            maps[scenario, year] = now
+            log(f"{scenario}: to {year}")
+            now = maps[scenario, year] = cut(simulate_step(now, grid, model, weights, matrix, recompute=True, **how))
+            if sink:
+                sink(scenario, year, now)
     all_maps = None
     for (scenario, year), m in maps.items():
         one = m.select(F.lit(scenario).alias("scenario"), F.lit(year).alias("year"), "cell_id", "cat")
@@ -97,12 +115,29 @@ def project(cells: DataFrame, grid: Grid, model: Model, weights: DataFrame, matr
     return (areas if old is None else append_replace(old, areas)), maps
 
 
+def retrain(samples: DataFrame, counts: DataFrame, pair: DataFrame, features: DataFrame, blocks: DataFrame, scales: DataFrame, names: list[str], grid: Grid, *, block: int, n_each: int, seed: int = 42, **how) -> tuple[mlp.Network, DataFrame, DataFrame]:
+    """(network, weights, all samples): the final network from all pairs.
+
+    The latest pair (cell_id, c0, c1) is sampled with seed + 1, gets its blocks' splits, and joins the earlier samples (c0, c1, split, cell_id, names); weights pool
+    both pairs' populations and samples. features: (cell_id, names) of the latest pair; counts: (c0, c1, n, taken) of the earlier pairs.
+    """
+    valid = pair.where("c0 > 0 and c1 > 0")
+    new = sampling.stratified_sample(valid, n_each, seed + 1)
+    both = counts.select("c0", "c1", "n", "taken").union(sampling.transition_counts(valid).join(sampling.transition_counts(new).withColumnRenamed("n", "taken"), ["c0", "c1"]).select("c0", "c1", "n", "taken"))
+    both = both.groupBy("c0", "c1").agg(F.sum("n").alias("n"), F.sum("taken").alias("taken"))
+    weights = sampling.prior_weights(both.select("c0", "c1", "n"), both.select("c0", "c1", F.col("taken").alias("n")))
+    new = sampling.with_split(new.join(features.select("cell_id", *names), "cell_id").withColumn("block", grid.block("cell_id", block)), blocks)
+    columns = ["cell_id", "c0", "c1", "split", *names]
+    every = cut(samples.select(*columns).union(new.select(*columns)))
+    return mlp.train(sampling.standardize(every, scales, names), names, **how), weights, every
+
+
 def validate(before: DataFrame, reference: DataFrame, simulated: dict[str, DataFrame]) -> DataFrame:
-    """evaluate() of each simulated map and of persistence, named by column label."""
+    """evaluate() of each simulated map and of persistence, named by column label; cells without a class in any of the three maps do not count."""
     base = before.select("cell_id", F.col("cat").alias("t0")).join(reference.select("cell_id", F.col("cat").alias("ref")), "cell_id").where("t0 > 0 and ref > 0")
     out = None
     for label, sim in {"persistence": before, **simulated}.items():
-        rows = base.join(sim.select("cell_id", F.col("cat").alias("sim")), "cell_id")
+        rows = base.join(sim.select("cell_id", F.col("cat").alias("sim")), "cell_id").where("sim > 0")
         one = metrics.evaluate(rows, "t0", "ref", "sim").withColumn("label", F.lit(label))
         out = one if out is None else out.unionByName(one)
     return out

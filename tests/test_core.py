@@ -179,20 +179,152 @@ def test_measures_of_a_table_worked_by_hand(spark):
     assert o["accuracy"] == pytest.approx(0.85) and o["quantity"] == pytest.approx(0.02) and o["allocation"] == pytest.approx(0.13)
 
 
-def test_cost_paths_relaxed_and_dijkstra_agree(spark):
+def plain_costs(cost, width, start):
+    """Bellman-Ford over all cells."""
+    best = {i: 0.0 if i in start else math.inf for i in range(len(cost))}
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(cost)):
+            for dr, dc, n in costpath.MOVES:
+                r, c = i // width + dr, i % width + dc
+                if 0 <= r < len(cost) // width and 0 <= c < width:
+                    new = best[r * width + c] + (cost[i] + cost[r * width + c]) / 2 * n
+                    if new < best[i] - 1e-9:
+                        best[i], changed = new, True
+    return best
+
+
+@pytest.mark.parametrize("size", [256, 4, 3])
+def test_cost_paths_by_tiles_equal_brute_force(spark, size):
     g = Grid("local", 30.0, 0.0, 0.0, 9, 8)
     cost = np.random.default_rng(2).integers(1, 100, 72).astype(float)
     rows = layer(spark, g, cost).withColumnRenamed("v", "cost")
-    nodes = spark.createDataFrame([(0, 1), (1, 1), (71, 2)], "cell_id long, uc_id int")
-    a = {(r["uc_id"], r["cell_id"]): r["total"] for r in costpath.cost_from_nodes(rows, nodes, g).collect()}
-    b = {(r["uc_id"], r["cell_id"]): r["total"] for r in costpath.relaxed(rows, nodes, g).collect()}
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
-    assert a[1, 0] == a[1, 1] == 0
-    total = costpath.cost_from_nodes(rows, nodes, g)
-    link = costpath.links(costpath.traced(total, costpath.cheapest_pairs(total, nodes)), nodes, g.res).first()
-    assert link["path"][-1] == 71 and link["path"][0] in (0, 1) and link["direct"] and link["crosses"] == ""
-    walked = sum((cost[x] + cost[y]) / 2 * (math.sqrt(2) if abs(x // 9 - y // 9) + abs(x % 9 - y % 9) == 2 else 1) for x, y in zip(link["path"], link["path"][1:]))
-    assert walked == pytest.approx(link["cost"], abs=1e-5)
+    nodes = spark.createDataFrame([(0, 1), (1, 1), (71, 2), (35, 3)], "cell_id long, uc_id int")
+    total = costpath.cost_from_nodes(rows, nodes, g, size)
+    got = {(r["uc_id"], r["cell_id"]): r["total"] for r in total.collect()}
+    want = {(u, i): d for u, start in ((1, {0, 1}), (2, {71}), (3, {35})) for i, d in plain_costs(cost, 9, start).items()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    found = costpath.links(costpath.traced(total, costpath.cheapest_pairs(total, nodes), g, size), nodes, g.res).collect()
+    assert {(r["uc_a"], r["uc_b"]) for r in found} == {(1, 2), (1, 3), (2, 3)}
+    for link in found:
+        path, own = link["path"], {1: {0, 1}, 2: {71}, 3: {35}}
+        assert path[0] in own[link["uc_a"]] and path[-1] in own[link["uc_b"]]
+        assert all(max(abs(x // 9 - y // 9), abs(x % 9 - y % 9)) == 1 for x, y in zip(path, path[1:]))
+        walked = sum((cost[x] + cost[y]) / 2 * (math.sqrt(2) if abs(x // 9 - y // 9) + abs(x % 9 - y % 9) == 2 else 1) for x, y in zip(path, path[1:]))
+        assert walked == pytest.approx(link["cost"], abs=1e-5)
+        third = {u for u in own if u not in (link["uc_a"], link["uc_b"]) and own[u] & set(path)}
+        assert link["direct"] == (not third) and link["crosses"] == ",".join(map(str, sorted(third)))
+
+
+def test_a_later_map_is_held_against_reference_corridors(spark):
+    g = Grid("local", 100.0, 0.0, 0.0, 12, 5)
+    owners = spark.createDataFrame([(r * 12 + c, u) for r in range(1, 4) for u, cols in ((1, (0, 1)), (2, (6,)), (3, (10, 11))) for c in cols], "cell_id long, uc_id int")
+    names = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "uc_id int, nome string")
+    first = np.where(np.arange(60) // 12 == 2, 1, 3)
+    for r in (1, 2, 3):
+        first[[r * 12 + c for c in (0, 1, 6, 10, 11)]] = 1
+    second = first.copy()
+    second[[24 + 3, 24 + 4]] = 3  # a gap between A and B
+    second[[r * 12 + c for r in (1, 2, 3) for c in (10, 11)]] = 4  # C is no node any more
+    table = {1: 1, 3: 50, 4: 90}
+    maps = [layer(spark, g, m.astype(float)).select("cell_id", F.col("v").cast("int").alias("cat")) for m in (first, second)]
+    one = costpath.evaluate(maps[0], owners, g, table, names=names, min_ha=2, size=4)
+    rows = {(r["uc_a"], r["uc_b"]): r for r in one.links.collect()}
+    assert set(rows) == {(1, 2), (2, 3)}  # 1 to 3 leads through 2
+    assert rows[1, 2]["name_a"] == "A" and rows[1, 2]["name_b"] == "B" and rows[1, 2]["exists"] and not rows[1, 2]["contiguous"]
+    assert rows[1, 2]["cost"] == 5 and rows[1, 2]["length_km"] == pytest.approx(0.6)
+    assert tuple(one.info.first()) == (3, 3, 2) and one.all_links.count() == 3
+    ref = one.reference()
+    later = costpath.evaluate(maps[1], owners, g, table, names=names, ref=ref, min_ha=2, size=4)
+    got = {(r["uc_a"], r["uc_b"]): r for r in later.links.collect()}
+    assert set(got) == {(1, 2), (2, 3)} and got[1, 2]["exists"] and not got[2, 3]["exists"] and not got[2, 3]["direct"] and got[2, 3]["cost"] is None
+    held = {p: {r["cell_id"] for r in ref.corridors.where(f"uc_a = {p[0]} and uc_b = {p[1]}").collect()} for p in got}
+    for p, r in got.items():
+        natural = {c for c in held[p] if first[c] in (1, 2)}
+        lost = {c for c in natural if second[c] not in (1, 2)}
+        assert r["natural_ref_ha"] == pytest.approx(len(natural)) and r["natural_lost_ha"] == pytest.approx(len(lost)) and r["forest_lost_ha"] == pytest.approx(len(lost))
+        assert r["rupture_pct"] == pytest.approx(100 * len(lost) / len(natural))
+    assert got[1, 2]["cost_ref"] == 5 and got[1, 2]["cost_delta_pct"] == pytest.approx(100 * (got[1, 2]["cost"] / 5 - 1)) and got[1, 2]["cost"] > 50
+    s = costpath.horizon_summary(later.links.withColumn("scenario", F.lit("x")).withColumn("year", F.lit(2030))).first()
+    assert (s["nodes"], s["links_ref"], s["links_existing"], s["links_direct"]) == (2, 2, 1, 1) and s["mean_cost_delta_pct"] == pytest.approx(got[1, 2]["cost_delta_pct"])
+
+
+def test_decade_of_net_and_not_gross_loss(spark):
+    rows = [(1990, 1, 3, 50), (1990, 3, 1, 48), (1990, 1, 1, 100), (1995, 1, 3, 50), (1995, 3, 1, 48), (1995, 1, 1, 98), (2000, 1, 3, 20), (2000, 1, 1, 126), (2005, 1, 4, 20), (2005, 1, 1, 106)]
+    counts = spark.createDataFrame(rows, "period int, c0 int, c1 int, n long")
+    r = markov.decade_argmax(counts).first()
+    assert (r["loss_period"], r["loss"]) == (2000, 40)  # 146 - 106; by gross loss 1990 would win with 100
+    assert (r["gain_period"], r["gain"]) == (2000, 20)
+    assert simulate.demand(counts, "pressure", ()).where("c0 = 1 and c1 = 4").first()["p"] == pytest.approx(20 / (146 + 126))
+
+
+def test_cutoffs_narrow_down_ties(spark):
+    rng = np.random.default_rng(1)
+    p = np.r_[np.full(300, 0.25), np.round(rng.random(300), 3)]
+    rows = spark.createDataFrame([(1 + i % 2, float(x), i) for i, x in enumerate(p)], "c0 int, p double, cell_id long")
+    for few in (20_000, 10):
+        got = allocate.cutoffs(rows, {1: 250, 2: 7}, bins=16, few=few)
+        for c0, n in ((1, 250), (2, 7)):
+            assert got[c0] == sorted(((float(x), i) for i, x in enumerate(p) if 1 + i % 2 == c0), key=lambda z: (-z[0], z[1]))[n - 1]
+    assert allocate.cutoffs(rows, {1: 1000}) == {1: None}
+
+
+def test_fill_level_of_cells_without_observation(spark):
+    obs = spark.createDataFrame([(1, 2000, 5.0), (2, 2000, None), (3, 2003, 1.0)], "cell_id long, year int, v double")
+    got = {(r["cell_id"], r["year"]): (r["v"], r["level"]) for r in temporal.gap_filled(obs, [2000, 2003], [(0, 0), (-1, 1)], 2003, ["v"], "v", spark.range(1, 5).withColumnRenamed("id", "cell_id")).collect()}
+    assert got == {(1, 2000): (5.0, 0), (1, 2003): (None, 255), (2, 2000): (None, 255), (2, 2003): (None, 255), (3, 2000): (None, 255), (3, 2003): (1.0, 0), (4, 2000): (None, 255), (4, 2003): (None, 255)}
+
+
+def plain_step(cat, width, prob_of, weights, matrix, iterations=3):
+    """One step of the automaton, cell by cell; prob_of(map) -> class probabilities of all cells."""
+    n0 = {k: int((cat == k).sum()) for k in range(1, 7)}
+    quota = {(i, j): 0 if i == j else round(n0[i] * matrix[i - 1][j - 1]) for i in range(1, 7) for j in range(1, 7)}
+    cur, moved = cat.copy(), np.zeros(len(cat), bool)
+    free = (cat > 0) & (cat != 5) & (cat != 6)
+    for it in range(iterations):
+        prob = prob_of(cur)
+        for i in (1, 2, 3, 4):
+            q = prob[:, :] * np.array(weights[i - 1])
+            q = q / np.where(q.sum(1, keepdims=True) > 0, q.sum(1, keepdims=True), 1)
+            for j in sorted((j for j in range(1, 7) if j != i), key=lambda j: (quota[i, j], j)):
+                take = min(math.ceil(quota[i, j] / (iterations - it)), quota[i, j])
+                got = sorted(np.flatnonzero(free & (cat == i) & ~moved), key=lambda x: (-q[x, j - 1], x))[:take]
+                cur[got], moved[got] = j, True
+                quota[i, j] -= len(got)
+    return cur
+
+
+def test_a_step_of_the_automaton_equals_plain_loops(spark):
+    g, rng = Grid("local", 30.0, 0.0, 0.0, 12, 10), np.random.default_rng(3)
+    cat = rng.integers(0, 7, 120)
+    matrix = rng.random((6, 6)) * 0.2
+    weights = rng.integers(1, 9, (6, 6)).astype(float)
+    stored = rng.random(120)
+    names = ["nbr_1", "oh_3", "dist_urban", "v"]
+    model = [[0.1 * k, 0.7 * (k % 3), 0.4 * (k % 2), -0.004 * k, 0.9 * (k % 4)] for k in range(6)]
+
+    def prob_of(now):
+        m = now.reshape(10, 12)
+        pad = np.pad(m, 2, mode="edge")
+        nbr = np.array([(pad[r : r + 5, c : c + 5] == 1).mean() for r in range(10) for c in range(12)])
+        urban = np.argwhere(m == 5)
+        dist = np.array([30 * np.sqrt(((urban - (r, c)) ** 2).sum(1).min()) for r in range(10) for c in range(12)])
+        x = np.stack([nbr, (now == 3).astype(float), dist, stored], axis=1)
+        e = np.exp(np.array([[row[0] + sum(w * v for w, v in zip(row[1:], z)) for row in model] for z in x]))
+        return e / e.sum(1, keepdims=True)
+
+    want = plain_step(cat.astype(int), 12, prob_of, weights, matrix)
+    frame = lambda m, c: spark.createDataFrame([(i + 1, j + 1, float(m[i][j])) for i in range(6) for j in range(6)], f"c0 int, c1 int, {c} double")
+    cells = layer(spark, g, cat.astype(float)).select("cell_id", F.col("v").cast("int").alias("cat"))
+    v = spark.createDataFrame([(i, float(x)) for i, x in enumerate(stored)], "cell_id long, v double")
+    score = lambda rows: rows.withColumn("prob", mlp.linear_softmax(names, model))
+    got = simulate.simulate_step(cells, g, score, frame(weights, "w"), frame(matrix, "p"), names=names, stored=v, recompute=True)
+    assert [r["cat"] for r in got.orderBy("cell_id").collect()] == want.tolist()
+    areas, maps = simulate.project(cells, g, score, frame(weights, "w"), {"trend": frame(matrix, "p")}, 2025, [2030], names=names, stored=v)
+    rows = {r["year"]: r for r in areas.collect()}
+    assert set(rows) == {2025, 2030} and rows[2025]["class_5"] == pytest.approx((cat == 5).sum() * g.cell_ha) and rows[2030]["class_5"] == pytest.approx((want == 5).sum() * g.cell_ha)
+    assert set(maps) == {("trend", 2025), ("trend", 2030)}
 
 
 def test_polygons(spark):
@@ -249,7 +381,7 @@ def test_scalers_skip_nulls_and_use_train_rows(spark):
 def test_gap_filling_takes_the_first_window(spark):
     obs = spark.createDataFrame([(1, 2000, None), (1, 1999, 4.0), (1, 2001, 8.0), (2, 2000, 5.0), (3, 1990, 1.0)], "cell_id long, year int, v double")
     got = {r["cell_id"]: (r["v"], r["level"]) for r in temporal.gap_filled(obs, [2000], [(0, 0), (-2, 0), (-4, 2)], 2001, ["v"], "v").collect()}
-    assert got == {1: (4.0, 1), 2: (5.0, 0)}
+    assert got == {1: (4.0, 1), 2: (5.0, 0), 3: (None, 255)}
 
 
 def test_quality_gates(spark):
