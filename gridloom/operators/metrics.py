@@ -66,6 +66,17 @@ def report(cm: DataFrame) -> DataFrame:
     return out.select("k", "precision", "recall", zero(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).alias("f1"), "support")
 
 
+def report_summary(cm: DataFrame) -> DataFrame:
+    """(label, precision, recall, f1, support): accuracy (in all three columns), the macro mean, and the mean weighted by support."""
+    per, total = report(cm), F.sum("support")
+    names = ("precision", "recall", "f1")
+    hit = cm.agg(F.try_divide(F.sum(F.when(F.col("ref") == F.col("sim"), F.col("n"))), F.sum("n")).alias("a"), F.sum("n").alias("support"))
+    whole = hit.select(F.lit("accuracy").alias("label"), *[F.col("a").alias(c) for c in names], "support")
+    macro = per.agg(*[F.avg(c).alias(c) for c in names], total.alias("support")).select(F.lit("macro avg").alias("label"), *names, "support")
+    weighted = per.agg(*[F.try_divide(F.sum(F.col(c) * F.col("support")), total).alias(c) for c in names], total.alias("support"))
+    return whole.union(macro).union(weighted.select(F.lit("weighted avg").alias("label"), *names, "support"))
+
+
 def log_loss(true_share: Column, floor: float = 1e-15) -> Column:
     """Mean of -ln of the probability given to the true class."""
     return F.avg(-F.log(F.greatest(true_share, F.lit(floor))))

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 # A multiplicative order in plain arithmetic, which any SQL engine repeats.
 MULTIPLIER, INCREMENT, PRIME = 1_103_515_245, 12_345, 2_147_483_647
+#: Parts of the order that are numbered apart.
+SHARDS = 1024
 
 
 def turn(key: Column, seed: int = 42) -> Column:
@@ -33,18 +35,31 @@ def stratified_sample(pairs: DataFrame, n_each: int, seed: int = 42) -> DataFram
 
 def split_blocks(blocks: DataFrame, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
     """(block, split): distinct blocks in the order of turn(), cut at the half-even rounded shares."""
-    one = blocks.select("block").distinct()
-    n = one.agg(F.count("*").alias("_n"))
-    rank = F.row_number().over(Window.orderBy(turn(F.col("block"), seed), "block"))
-    nt, nv = (F.rint(F.col("_n") * s) for s in (train, val))
+    one = blocks.select("block").distinct().withColumn("_t", turn(F.col("block"), seed)).withColumn("_shard", F.floor(F.col("_t") / (PRIME // SHARDS + 1)))
+    sizes = one.groupBy("_shard").agg(F.count("*").alias("_n"))
+    w = Window.orderBy("_shard")  # SHARDS rows at most
+    sizes = sizes.select("_shard", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    rank = F.row_number().over(Window.partitionBy("_shard").orderBy("_t", "block")) + F.col("_before")
+    nt, nv = (F.rint(F.col("_all") * s) for s in (train, val))
     split = F.when(F.col("_rank") <= nt, "train").when(F.col("_rank") <= nt + nv, "val").otherwise("test")
-    return one.withColumn("_rank", rank).crossJoin(F.broadcast(n)).select("block", split.alias("split"))
+    return one.join(F.broadcast(sizes), "_shard").withColumn("_rank", rank).select("block", split.alias("split"))
 
 
 def with_split(samples: DataFrame, split: DataFrame) -> DataFrame:
     return samples.join(split, "block")
 
 
+def counts_by(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n): blocks or samples by their label."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"))
+
+
+def null_shares(samples: DataFrame, names: list[str]) -> DataFrame:
+    """(name, null_pct) of each predictor, in one pass."""
+    shares = samples.agg(*[(F.avg((F.col(n).isNull() | F.isnan(F.col(n).cast("double"))).cast("double")) * 100).alias(n) for n in names])
+    return shares.unpivot([], names, "name", "null_pct")
+
+
 def scaler(samples: DataFrame, names: list[str], split: str | None = "train", floor: float = 1e-6) -> DataFrame:
     """(name, mean, std, median) over the train rows; population std, nulls skipped."""
     rows = samples.where(F.col("split") == split) if split else samples

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.grid import Grid
+from gridloom.operators.focal import distance_to, union_mask
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -55,8 +56,9 @@ def rasterize(shapes: DataFrame, grid: Grid, ring: str = "ring", touched: bool =
     high = lambda k: F.array_max(F.transform(ring, lambda p: p[k]))
     clip = lambda v, n: F.least(F.greatest(v, F.lit(0)), F.lit(n - 1)).cast("int")
     box = crossing(shapes, *grid.bounds, ring=ring)
-    c0, c1 = (clip(F.floor((f("x") - grid.xmin) / grid.res), grid.width) for f in (low, high))
-    r0, r1 = (clip(F.floor((grid.ymax - f("y")) / grid.res), grid.height) for f in (high, low))
+    first = (lambda v: F.ceil(v) - 1) if touched else F.floor  # a cell that only meets the shape's edge counts as touched
+    c0, r0 = clip(first((low("x") - grid.xmin) / grid.res), grid.width), clip(first((grid.ymax - high("y")) / grid.res), grid.height)
+    c1, r1 = clip(F.floor((high("x") - grid.xmin) / grid.res), grid.width), clip(F.floor((grid.ymax - low("y")) / grid.res), grid.height)
     rows = box.withColumn("_r", F.explode(F.sequence(r0, r1))).withColumn("_c", F.explode(F.sequence(c0, c1)))
     x, y = grid.x(F.col("_c")), grid.y(F.col("_r"))
     met = holds(F.col(ring), x, y)
@@ -86,6 +88,11 @@ def by_burn_order(cells: DataFrame, value: str, order: str) -> DataFrame:
     return cells.groupBy("cell_id").agg(F.max_by(value, order).alias(value))
 
 
+def burn_positive(shapes: DataFrame, grid: Grid, value: str, order: str, ring: str = "ring") -> DataFrame:
+    """(cell_id, value) of shapes whose value is above 0 (a null counts as 0); of shapes over one cell the last by order stays."""
+    return by_burn_order(rasterize(shapes.where(F.coalesce(F.col(value), F.lit(0)) > 0).select(value, order, ring), grid, ring), value, order)
+
+
 def by_priority(cells: DataFrame, value: str = "uc_id") -> DataFrame:
     """(cell_id, value): strictly protected areas before others, then smaller before larger, then the greater id."""
     best = F.max_by(value, F.struct(F.col("protecao_integral"), -F.col("area_ha"), F.col(value)))
@@ -108,3 +115,30 @@ def dissolve(shapes: DataFrame, name: str = "nome", order: str = "id", ring: str
 def path_points(path: Column, grid: Grid) -> Column:
     """Cell centres of an array of cells; null for fewer than two."""
     return F.when(F.size(path) > 1, F.transform(path, lambda c: F.struct(grid.x(grid.column(c)).alias("x"), grid.y(grid.row(c)).alias("y"))))
+
+
+def merged_cells(shapes: DataFrame, grid: Grid, name: str = "nome", ring: str = "ring") -> DataFrame:
+    """(name, cell_id): the union of each name's shapes as cells; overlaps count once."""
+    return rasterize(shapes.select(name, ring), grid, ring).distinct()
+
+
+def buffered(zone: DataFrame, grid: Grid, distance: float) -> DataFrame:
+    """Cells whose centre is within `distance` of a zone cell's centre. zone: (cell_id)."""
+    far = distance_to(zone.select("cell_id").distinct().withColumn("_z", F.lit(True)), grid, F.col("_z"))
+    return far.where(F.col("distance") <= distance).select("cell_id")
+
+
+def tiles_meeting(zone: DataFrame, grid: Grid, size: int) -> DataFrame:
+    """Tiles of the grid that hold a cell of the zone."""
+    at = F.struct((F.floor(grid.row() / size) * size).cast("int").alias("row0"), (F.floor(grid.column() / size) * size).cast("int").alias("col0"))
+    return grid.tiles(zone.sparkSession, size).join(zone.select(at.alias("t")).select("t.*").distinct(), ["row0", "col0"], "left_semi")
+
+
+def distance_layers(inputs: dict[str, list[DataFrame]], wanted: list[str], grid: Grid, touched: tuple[str, ...] = ("dist_hidrografia",)) -> DataFrame:
+    """cell_id and a column for each wanted layer that has inputs: the distance to the union of its shapes. Layers in `touched` mark every cell met."""
+    out = grid.cells(next(iter(inputs.values()))[0].sparkSession)
+    for name in wanted:
+        if name in inputs:
+            mask = union_mask(*[rasterize(s.select("ring"), grid, touched=name in touched) for s in inputs[name]]).withColumn("_z", F.lit(True))
+            out = out.join(distance_to(mask, grid, F.col("_z")).withColumnRenamed("distance", name), "cell_id")
+    return out

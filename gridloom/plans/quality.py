@@ -43,3 +43,17 @@ def unmapped_codes(codes: DataFrame, table: dict[int, int]) -> DataFrame:
     known = codes.sparkSession.createDataFrame([(k,) for k in table], "code int").withColumn("mapped", F.lit(True))
     n = codes.groupBy("code").agg(F.count("*").alias("n"))
     return n.join(F.broadcast(known), "code", "left").select("code", "n", F.coalesce("mapped", F.lit(False)).alias("mapped")).orderBy("code")
+
+
+def forest_two_ways(cells: DataFrame, by: str, category: int = 1, code: int = 3) -> DataFrame:
+    """(by, by_category, by_code, share): cells of the category, of its main raw code, and the category's share. cells: (cat, code, by)."""
+    one = lambda c: F.sum(F.coalesce(c.cast("long"), F.lit(0)))
+    cat = F.col("cat") == category
+    return cells.groupBy(by).agg(one(cat).alias("by_category"), one(F.col("code") == code).alias("by_code"), F.avg(cat.cast("double")).alias("share"))
+
+
+def probe(layers: DataFrame, grid: Grid, row0: int, col0: int, height: int, width: int, by: str = "year", value: str = "v") -> DataFrame:
+    """Per band: percentage of valid cells, min, mean and max in one tile."""
+    tile = grid.row().between(row0, row0 + height - 1) & grid.column().between(col0, col0 + width - 1)
+    valid = F.avg(F.col(value).isNotNull().cast("double")) * 100
+    return layers.where(tile).groupBy(by).agg(valid.alias("valid_pct"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"))

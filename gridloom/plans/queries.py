@@ -596,8 +596,8 @@ def enrichment(spark, sf):
     return rounded(out, "corridor_pct", "rest_pct", "area_pct", "ratio")
 
 
-@query("""select bin, round(b * 0.09, 6) before_ha, round(a * 0.09, 6) after_ha, round(l * 0.09, 6) lost_ha, round(g * 0.09, 6) gained_ha, round(100 * (a - b) / greatest(b, 1)::double, 6) net_pct from (
-select least(coalesce(v, 0), 3) bin, sum((c0 in (1, 2))::int) b, sum((c1 in (1, 2))::int) a, sum((c0 in (1, 2) and c1 not in (1, 2))::int) l, sum((c0 not in (1, 2) and c1 in (1, 2))::int) g
+@query("""select bin, round(n * 0.09, 6) area_ha, round(b * 0.09, 6) before_ha, round(a * 0.09, 6) after_ha, round(l * 0.09, 6) lost_ha, round(g * 0.09, 6) gained_ha, round(100 * (a - b) / greatest(b, 1)::double, 6) net_pct from (
+select least(coalesce(v, 0), 3) bin, count(*) n, sum((c0 in (1, 2))::int) b, sum((c1 in (1, 2))::int) a, sum((c0 in (1, 2) and c1 not in (1, 2))::int) l, sum((c0 not in (1, 2) and c1 in (1, 2))::int) g
 from maps left join priority using (cell_id) group by 1)""")
 def loss_gain(spark, sf):
     m = derived.maps(spark, sf)
@@ -661,16 +661,13 @@ def simulate_step(spark, sf):
 @query("""select t, count(*) filter (where cat = 1) by_category, count(*) filter (where code = 3) by_code, round(avg((cat = 1)::int), 6) share
 from (select t, code, coalesce(cat, 0) cat from codes left join lut using (code)) group by 1""")
 def forest_two_ways(spark, sf):
-    one = lambda c: F.sum(c.cast("long"))
-    out = reclass_grid(spark, sf).groupBy("t").agg(one(F.col("cat") == 1).alias("by_category"), one(F.col("code") == 3).alias("by_code"), F.avg((F.col("cat") == 1).cast("double")).alias("share"))
-    return rounded(out, "share")
+    return rounded(quality.forest_two_ways(reclass_grid(spark, sf), "t"), "share")
 
 
 @query("""select year, round(avg((v is not null)::int) * 100, 6) valid_pct, min(v) min, round(avg(v), 4) mean, max(v) max from prices
 where cell_id // 50 between 16 and 31 and cell_id % 50 between 16 and 31 group by 1""")
 def probe_tile(spark, sf):
-    tile = GRID.row().between(16, 31) & GRID.column().between(16, 31)
-    out = derived.prices(spark, sf).where(tile).groupBy("year").agg((F.avg(F.col("v").isNotNull().cast("double")) * 100).alias("valid_pct"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"))
+    out = quality.probe(derived.prices(spark, sf), GRID, 16, 16, 16, 16)
     return rounded(rounded(out, "valid_pct"), "mean", digits=4)
 
 
@@ -734,3 +731,6 @@ def layer_alignment(spark, sf):
     from gridloom.grid import layer_faults
 
     return layer_faults(derived.maps(spark, sf).select("cell_id", F.col("c0").alias("v")), GRID, sentinel=0)
+
+
+from gridloom.plans import more  # noqa: E402,F401  registers further queries

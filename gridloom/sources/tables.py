@@ -69,9 +69,9 @@ def read_json(spark: SparkSession, path: str, schema: str, many_lines: bool = Tr
     return spark.read.schema(SCHEMAS.get(schema, schema)).json(path, multiLine=many_lines)
 
 
-def write_layer(df: DataFrame, path: str, by: str = "year") -> None:
+def write_layer(df: DataFrame, path: str, by: str | tuple[str, ...] = "year") -> None:
     """Overwrites the partitions that df has and leaves the others; the committer makes each write whole or void."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*([by] if isinstance(by, str) else by)).parquet(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -2,9 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from gridloom.sources import config, tables
+from gridloom import cli
+from gridloom.grid import Grid
+from gridloom.sources import config, fetch, tables
 from gridloom.streaming import ledger
 
 
@@ -68,3 +71,47 @@ def test_stream_takes_new_files_once(spark, tmp_path):
     drop(2001)
     go()
     assert {(r["year"], r["v"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(2000, 2.0), (2001, 2.0)}
+
+
+def test_retries_wait_and_give_up():
+    waits, tries = [], []
+
+    def call():
+        tries.append(1)
+        if len(tries) < 4:
+            raise fetch.TooManyRequests if len(tries) < 3 else ValueError("late")
+        return "done"
+
+    assert fetch.with_retries(call, 5, 2.0, 50.0, waits.append) == "done" and waits == [30.0, 50.0, 8.0]
+    with pytest.raises(ValueError, match="never"):
+        fetch.with_retries(lambda: (_ for _ in ()).throw(ValueError("never")), 2, 1.0, 9.0, waits.append)
+    assert waits[3:] == [1.0]
+
+
+def test_bounds_reach_the_scan(spark, tmp_path):
+    ring = lambda x: [(x, 0.0), (x + 10, 0.0), (x + 10, 10.0)]
+    shapes = spark.createDataFrame([(1, ring(0.0)), (2, ring(500.0)), (3, None)], "uc_id int, ring array<struct<x:double,y:double>>")
+    tables.write_shapes(shapes, f"{tmp_path}/shapes")
+    near = tables.read_for_grid(spark, f"{tmp_path}/shapes", Grid("local", 10.0, 20.0, 20.0, 5, 5), margin=15)
+    assert [r["uc_id"] for r in near.collect()] == [1] and near.columns == ["uc_id", "ring"]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(xmin" in plan and "GreaterThanOrEqual(xmax" in plan
+
+
+def test_a_table_that_is_not_there_has_no_columns(spark, tmp_path):
+    assert tables.describe(spark, f"{tmp_path}/none").count() == 0
+    tables.write_layer(spark.range(3).withColumn("year", F.lit(2000)), f"{tmp_path}/by_year")
+    assert {(r["column"], r["partition"]) for r in tables.describe(spark, f"{tmp_path}/by_year").collect()} == {("id", False), ("year", True)}
+
+
+def test_command_line_probes_and_fills(spark, tmp_path):
+    grid = Grid("local", 30.0, 0.0, 120.0, 4, 4)
+    (tmp_path / "grid.json").write_text(json.dumps(grid.to_dict()))
+    (tmp_path / "c.json").write_text(json.dumps({"paths": {n: n if n != "grid" else "grid.json" for n in ("grid", "raw", "layers", "ledger")}}))
+    raw = spark.range(16).select(F.col("id").alias("cell_id"), F.when(F.col("id") != 5, F.col("id").cast("double")).alias("v"), F.explode(F.array(F.lit(2000), F.lit(2001))).alias("year"))
+    tables.write_layer(raw, f"{tmp_path}/raw")
+    args = lambda *a: cli.parser().parse_args(["--config", f"{tmp_path}/c.json", *a])
+    got = {r["year"]: (r["valid_pct"], r["min"], r["max"]) for r in cli.run(args("probe", "--size", "2"), spark).collect()}
+    assert got == {2000: (75.0, 6.0, 10.0), 2001: (75.0, 6.0, 10.0)}
+    assert cli.run(args("fill", "--years", "2000", "2001"), spark) == [2000, 2001] and cli.run(args("fill", "--years", "2000"), spark) == []
+    assert spark.read.parquet(f"{tmp_path}/layers").count() == 32
