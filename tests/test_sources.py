@@ -94,7 +94,8 @@ def test_bounds_reach_the_scan(spark, tmp_path):
     tables.write_shapes(shapes, f"{tmp_path}/shapes")
     near = tables.read_for_grid(spark, f"{tmp_path}/shapes", Grid("local", 10.0, 20.0, 20.0, 5, 5), margin=15)
     assert [r["uc_id"] for r in near.collect()] == [1] and near.columns == ["uc_id", "ring"]
-    plan = near._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = near.where("uc_id > 0")._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(xmin" in plan and "GreaterThanOrEqual(xmax" in plan
 
 
