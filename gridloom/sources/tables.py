@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in the shared folder: its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df as a Parquet table in the shared folder: its lineage ends there, it is computed once, and its size is known to joins."""
+    path = f"{shared_dir(df.sparkSession)}/gridloom/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_layer(spark: SparkSession, path: str, year: int | None = None, columns: list[str] | None = None) -> DataFrame:
