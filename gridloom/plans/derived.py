@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,18 @@ from gridloom.grid import Grid
 from gridloom.operators import vector
 from gridloom.sources.tables import shared_dir
 
-GRID = Grid("local", 30.0, 0.0, 1200.0, 50, 40)
+#: The grid's height and width in cells, and the lines of the table that go with it.
+HEIGHT, WIDTH, LINES = 40, 50, 60_000
+_SIZES: dict[str, int] = {}
+
+
+def grid(spark: SparkSession, sf_dir: str) -> Grid:
+    """The grid of a set of tables: its cells grow with the lines, its sides by whole multiples of 40 x 50."""
+    if sf_dir not in _SIZES:
+        _SIZES[sf_dir] = table(spark, sf_dir, "lineitem").count()
+    k = max(1, round(math.sqrt(_SIZES[sf_dir] / LINES)))
+    return Grid("local", 30.0, 0.0, 30.0 * HEIGHT * k, WIDTH * k, HEIGHT * k)
+
 
 # Land-cover codes of the six categories (forest, other natural, pasture, agriculture, urban, water).
 RECLASS = {
@@ -30,28 +43,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cell():
-    return (F.col("l_orderkey") % 40 * 50 + F.col("l_partkey") % 50).alias("cell_id")
+def _cell(g: Grid):
+    return (F.col("l_orderkey") % g.height * g.width + F.col("l_partkey") % g.width).alias("cell_id")
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell_id, t, code): t is 0 up to 1997, then 1."""
     t = F.when(F.year("l_shipdate") <= 1997, 0).otherwise(1).alias("t")
-    return table(spark, sf_dir, "lineitem").groupBy(_cell(), t).agg((F.sum("l_linenumber") % 64).cast("int").alias("code"))
+    return table(spark, sf_dir, "lineitem").groupBy(_cell(grid(spark, sf_dir)), t).agg((F.sum("l_linenumber") % 64).cast("int").alias("code"))
 
 
 def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cell_id, r, c, c0, c1) of all 2,000 cells; a cell without code is 0."""
+    """(cell_id, r, c, c0, c1) of all cells; a cell without code is 0."""
+    g = grid(spark, sf_dir)
     cat = reclassify(F.col("code"), reclass_table(RECLASS))
     per = codes(spark, sf_dir).groupBy("cell_id").agg(*[F.max(F.when(F.col("t") == t, cat)).alias(f"c{t}") for t in (0, 1)])
-    out = GRID.cells(spark).join(per, "cell_id", "left")
-    return out.select("cell_id", GRID.row().alias("r"), GRID.column().alias("c"), *[F.coalesce(f"c{t}", F.lit(0)).cast("int").alias(f"c{t}") for t in (0, 1)])
+    out = g.cells(spark).join(per, "cell_id", "left")
+    return out.select("cell_id", g.row().alias("r"), g.column().alias("c"), *[F.coalesce(f"c{t}", F.lit(0)).cast("int").alias(f"c{t}") for t in (0, 1)])
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell_id, year, v): mean price of the cell's lines in whole cents; null for the sentinel, which stands where lines are few."""
     cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))
-    lines = table(spark, sf_dir, "lineitem").groupBy(_cell(), F.year("l_shipdate").alias("year"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(_cell(grid(spark, sf_dir)), F.year("l_shipdate").alias("year"))
     rows = lines.agg(cents.alias("s"), F.count("*").alias("n"))
     return rows.select("cell_id", "year", F.nullif(F.when((F.col("cell_id") + F.col("year")) % 11 == 0, -9999.0).otherwise(F.floor(F.col("s") / F.col("n")).cast("double")), F.lit(-9999.0)).alias("v"))
 
@@ -65,18 +79,18 @@ def elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rectangle per region, each over a corner of the next: (uc_id, nome, categoria, area_ha, protecao_integral, ring)."""
-    n = table(spark, sf_dir, "region")
+    n, top = table(spark, sf_dir, "region"), grid(spark, sf_dir).ymax
     k = F.col("r_regionkey").cast("int")
     r0, c0 = k * 5 % 32, k * 7 % 40
     x0, x1 = c0 * 30.0, (c0 + 10) * 30.0
-    y1, y0 = 1200.0 - r0 * 30.0, 1200.0 - (r0 + 8) * 30.0
+    y1, y0 = top - r0 * 30.0, top - (r0 + 8) * 30.0
     ring = F.array(*[F.struct(F.lit(a).alias("x") if not hasattr(a, "alias") else a.alias("x"), b.alias("y")) for a, b in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
     rows = n.select((k + 1).alias("uc_id"), F.col("r_name").alias("nome"), (k % 3).cast("string").alias("categoria"), (k % 2 == 0).alias("protecao_integral"), ring.alias("ring"))
     return rows.withColumn("area_ha", vector.area(F.col("ring")) / 10_000 + F.col("uc_id") * 0.01)
 
 
 def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.by_priority(vector.rasterize(boxes(spark, sf_dir), GRID))
+    return vector.by_priority(vector.rasterize(boxes(spark, sf_dir), grid(spark, sf_dir)))
 
 
 def priority(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +100,7 @@ def priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LUT = ", ".join(f"({code}, {cat})" for cat, values in RECLASS.items() for code in values)
 _RES = ", ".join(f"({k}, {v}.0::double)" for k, v in RESISTANCE.items())
-#: CTEs of the same grids.
+#: CTEs of the same grids, at the size that they have up to LINES lines.
 SQL = f"""
 with recursive lut(code, cat) as (values {_LUT}),
 codes as (

@@ -12,7 +12,7 @@ from gridloom.functions import scalar
 from gridloom.grid import Grid, grid_from_bounds
 from gridloom.operators import costpath, metrics, mlp, overlay, sampling, temporal, vector
 from gridloom.plans import derived, quality, simulate
-from gridloom.plans.derived import GRID, RECLASS, table
+from gridloom.plans.derived import RECLASS, grid, table
 from gridloom.plans.queries import _H, _O, _W1, _W2, BLOCKS, CM, EVENTS, LINKS, MERIT, PRIORS, PROBS, SAMPLES, SIM, _events, _paths, _samples, _scored, _weights, _wide, query, rounded
 from gridloom.sources import config, fetch, tables
 from gridloom.streaming import ledger
@@ -52,9 +52,9 @@ def latest_version(spark, sf):
 @query("select cell_id, nullif(c0, 0)::smallint c0, nullif(c1, 0)::smallint c1, 'local' crs, 50 width, 2 bands, 0.0::double nodata from maps")
 def raster_round_trip(spark, sf):
     path = work(spark, "raster")
-    tables.write_raster(derived.maps(spark, sf), path, GRID, {"c0": "smallint", "c1": "smallint"}, nodata=0)
-    df, grid, about = tables.read_raster(spark, path)
-    return df.select("*", F.lit(grid.crs).alias("crs"), F.lit(grid.width).alias("width"), F.lit(len(about)).alias("bands"), F.lit(float(about["c0"]["nodata"])).alias("nodata"))
+    tables.write_raster(derived.maps(spark, sf), path, grid(spark, sf), {"c0": "smallint", "c1": "smallint"}, nodata=0)
+    df, own, about = tables.read_raster(spark, path)
+    return df.select("*", F.lit(own.crs).alias("crs"), F.lit(own.width).alias("width"), F.lit(len(about)).alias("bands"), F.lit(float(about["c0"]["nodata"])).alias("nodata"))
 
 
 AREAS = "select 'a' scenario, 1 as year, " + ", ".join(f"round(sum((c0 = {k})::int) * 0.09, 6) class_{k}" for k in range(1, 7)) + " from maps"
@@ -92,7 +92,7 @@ def shapes_for_grid(spark, sf):
     """The scan's filter is on the stored bounds; the window is the upper left 20 rows and 12 columns."""
     path = work(spark, "shapes")
     tables.write_shapes(derived.boxes(spark, sf), path)
-    return tables.read_for_grid(spark, path, Grid("local", 30.0, 0.0, 1200.0, 12, 20)).select("uc_id", "nome")
+    return tables.read_for_grid(spark, path, Grid("local", 30.0, 0.0, grid(spark, sf).ymax, 12, 20)).select("uc_id", "nome")
 
 
 @query(f""", h as (select cell_id, [{_H}] h from (select cell_id, r::double v, c::double u from maps)), o as (select cell_id, [{_O}] e from h)
@@ -141,7 +141,7 @@ def same_reclass(spark, sf):
 def grid_file(spark, sf):
     """A grid read from its file, and one made from bounds with a margin."""
     path = work(spark, "grid")
-    spark.createDataFrame([(json.dumps(GRID.to_dict()),)], "value string").coalesce(1).write.text(path)
+    spark.createDataFrame([(json.dumps(grid(spark, sf).to_dict()),)], "value string").coalesce(1).write.text(path)
     g = config.load_grid(spark, path)
     b = grid_from_bounds((1.0, 2.0, 1499.0, 1190.0), "local", 30.0, 60.0)
     return spark.createDataFrame([(g.crs, g.res, g.width, g.height, g.cell_ha, b.xmin, b.ymax, b.width, b.height)], "crs string, res double, width int, height int, cell_ha double, xmin double, ymax double, wide int, high int")
@@ -163,7 +163,7 @@ def fetched_tiles(spark, sf):
             raise fetch.TooManyRequests
         return None if r == c == 0 else (r + np.arange(h))[:, None] * 100 + c + np.arange(w)
 
-    return fetch.fetch(GRID.tiles(spark, 16), GRID, source, first=0.001)
+    return fetch.fetch(grid(spark, sf).tiles(spark, 16), grid(spark, sf), source, first=0.001)
 
 
 # Guards, masks, images
@@ -190,7 +190,7 @@ def prepared_images(spark, sf):
 
 @query("select c.cell_id, coalesce(k.code, 0) code from cells c left join codes k on k.cell_id = c.cell_id and k.t = 1")
 def raw_cover(spark, sf):
-    return temporal.raw_cover(derived.codes(spark, sf).withColumnRenamed("t", "year"), 1, GRID.cells(spark))
+    return temporal.raw_cover(derived.codes(spark, sf).withColumnRenamed("t", "year"), 1, grid(spark, sf).cells(spark))
 
 
 @query(""", s as (select cell_id, r, c, (r * 2 + c)::double v from cells where r < 20 and c < 25),
@@ -198,10 +198,11 @@ t as (select i cell_id, (i // 50) / 2.0::double - 0.25 fy, (i % 50) / 2.0::doubl
 k as (select t.cell_id, s.v, (1 - abs(fx - s.c)) * (1 - abs(fy - s.r)) w from t join s on s.c between floor(fx) and floor(fx) + 1 and s.r between floor(fy) and floor(fy) + 1)
 select y.year::int as year, cell_id, round(sum(v * w) / sum(w) * (y.src - 2020), 6) v from k, (values (2023, 2023), (2024, 2024), (2025, 2024)) y(year, src) where w > 0 group by y.year, y.src, cell_id""")
 def precipitation_years(spark, sf):
-    coarse = Grid("local", 60.0, 0.0, 1200.0, 25, 20)
+    g = grid(spark, sf)
+    coarse = Grid("local", 60.0, 0.0, g.ymax, g.width // 2, g.height // 2)
     years = coarse.cells(spark).withColumn("year", F.explode(F.array(*map(F.lit, (2023, 2024)))))
     layers = years.select("year", "cell_id", ((coarse.row() * 2 + coarse.column()) * (F.col("year") - 2020)).cast("double").alias("v"))
-    return rounded(temporal.precipitation(layers, [2023, 2024, 2025], {2025: 2024}, coarse, GRID), "v")
+    return rounded(temporal.precipitation(layers, [2023, 2024, 2025], {2025: 2024}, coarse, grid(spark, sf)), "v")
 
 
 @query("select cell_id, c0, c1, r from maps")
@@ -217,7 +218,7 @@ def frozen_layer(spark, sf):
 
 @query("select cell_id, round_even(cell_id / 8.0::double, 2) v from cells")
 def rounded_half_even(spark, sf):
-    return GRID.cells(spark).select("cell_id", scalar.half_even(F.col("cell_id") / 8, 2).alias("v"))
+    return grid(spark, sf).cells(spark).select("cell_id", scalar.half_even(F.col("cell_id") / 8, 2).alias("v"))
 
 
 # Links and zones
@@ -229,7 +230,7 @@ from l join x using (uc_a) left join boxes a on a.uc_id = l.uc_a left join boxes
 def link_flags(spark, sf):
     path, _ = _paths(spark, sf)
     paths = path.groupBy("uc_a", "uc_b").agg(F.sort_array(F.collect_list("cell_id")).alias("path")).withColumn("cost", F.lit(0.0))
-    found = costpath.links(paths, derived.owners(spark, sf), GRID.res, 0.48)
+    found = costpath.links(paths, derived.owners(spark, sf), grid(spark, sf).res, 0.48)
     kept = costpath.reference_links(found).select("uc_a", "uc_b", F.lit(True).alias("reference"))
     names = derived.boxes(spark, sf)
     for k in "ab":
@@ -243,20 +244,20 @@ def positive_burn(spark, sf):
     worth = F.when(F.col("uc_id") < 5, F.col("uc_id") - 1).otherwise(F.col("uc_id") - 1)
     shapes = derived.boxes(spark, sf).select("ring", worth.alias("worth"), F.col("uc_id").alias("turn"))
     shapes = shapes.union(shapes.where("turn = 1").withColumns({"worth": F.lit(None).cast("int"), "turn": F.lit(9)}).select(*shapes.columns))
-    return vector.burn_positive(shapes, GRID, "worth", "turn")
+    return vector.burn_positive(shapes, grid(spark, sf), "worth", "turn")
 
 
 @query(""", zone as (select r, c from inside where uc_id = 1), near as (select distinct m.r, m.c from cells m join zone z on pow(m.r - z.r, 2) + pow(m.c - z.c, 2) <= 16)
 select row0::int row0, col0::int col0, least(8, 40 - row0)::int height, least(8, 50 - col0)::int width from (select distinct r // 8 * 8 row0, c // 8 * 8 col0 from near)""")
 def zone_tiles(spark, sf):
-    zone = vector.rasterize(derived.boxes(spark, sf).where("uc_id = 1").select("ring"), GRID)
-    return vector.tiles_meeting(vector.buffered(zone, GRID, 120.0), GRID, 8)
+    zone = vector.rasterize(derived.boxes(spark, sf).where("uc_id = 1").select("ring"), grid(spark, sf))
+    return vector.tiles_meeting(vector.buffered(zone, grid(spark, sf), 120.0), grid(spark, sf), 8)
 
 
 @query("select nome, round(count(distinct cell_id) * 0.09, 6) area_ha from (select substr(nome, 1, 1) nome, cell_id from inside) group by 1")
 def merged_areas(spark, sf):
-    cells = vector.merged_cells(derived.boxes(spark, sf).withColumn("nome", F.substring("nome", 1, 1)), GRID)
-    return rounded(cells.groupBy("nome").agg((F.count("*") * GRID.cell_ha).alias("area_ha")), "area_ha")
+    cells = vector.merged_cells(derived.boxes(spark, sf).withColumn("nome", F.substring("nome", 1, 1)), grid(spark, sf))
+    return rounded(cells.groupBy("nome").agg((F.count("*") * grid(spark, sf).cell_ha).alias("area_ha")), "area_ha")
 
 
 @query(""", water as (select r, c from cells join boxes b on r between b.r0 - 1 and b.r0 + 8 and c between b.c0 - 1 and b.c0 + 10 where uc_id in (1, 2)),
@@ -265,14 +266,14 @@ select m.cell_id, (select round(30 * sqrt(min(pow(m.r - w.r, 2) + pow(m.c - w.c,
 def distance_layers(spark, sf):
     b = derived.boxes(spark, sf)
     inputs = {"dist_hidrografia": [b.where("uc_id = 1"), b.where("uc_id = 2")], "dist_estradas": [b.where("uc_id = 4")], "dist_ferrovias": [b.where("uc_id = 5")]}
-    return rounded(vector.distance_layers(inputs, ["dist_hidrografia", "dist_estradas"], GRID), "dist_hidrografia", "dist_estradas")
+    return rounded(vector.distance_layers(inputs, ["dist_hidrografia", "dist_estradas"], grid(spark, sf)), "dist_hidrografia", "dist_estradas")
 
 
 @query(LINKS + """, x as (select coalesce(v, 0) v, cell_id in (select cell_id from wide) inn from maps left join priority using (cell_id)),
 z as (select v, case when inn then 'corridors' else 'rest' end as zone from x union all select v, 'area' from x)
 select zone, round(count(*) * 0.09, 6) area_ha, round(avg(v), 6) mean_v, round(100 * avg((v >= 1)::int), 6) pct_ge1, round(100 * avg((v >= 3)::int), 6) pct_ge3 from z group by 1""")
 def enrichment_zones(spark, sf):
-    out = overlay.enrichment_by_zone(_paths(spark, sf)[1], derived.maps(spark, sf), derived.priority(spark, sf), GRID.cell_ha)
+    out = overlay.enrichment_by_zone(_paths(spark, sf)[1], derived.maps(spark, sf), derived.priority(spark, sf), grid(spark, sf).cell_ha)
     return rounded(out, "area_ha", "mean_v", "pct_ge1", "pct_ge3")
 
 
@@ -347,8 +348,8 @@ def quality_gates(spark, sf):
     prices = derived.prices(spark, sf)
     faults = quality.missing_years(prices, list(range(1994, 2004)), "prices") + quality.band_count(prices, 3, "prices")
     layer = derived.maps(spark, sf).select("cell_id", F.col("c0").alias("v"))
-    wide = Grid(GRID.crs, GRID.res, GRID.xmin, GRID.ymax, 51, GRID.height)
-    faults += [x for x in quality.alignment({"codes": (GRID, layer)}, wide) if "rows" not in x] + quality.alignment({"codes": (GRID, layer)}, GRID)
+    wide = Grid(grid(spark, sf).crs, grid(spark, sf).res, grid(spark, sf).xmin, grid(spark, sf).ymax, 51, grid(spark, sf).height)
+    faults += [x for x in quality.alignment({"codes": (grid(spark, sf), layer)}, wide) if "rows" not in x] + quality.alignment({"codes": (grid(spark, sf), layer)}, grid(spark, sf))
     try:
         quality.require(faults)
     except quality.QualityError as e:
@@ -380,7 +381,7 @@ def retrained_weights(spark, sf):
     counts = sampling.transition_counts(m).join(sampling.transition_counts(sampling.stratified_sample(m, 5)).withColumnRenamed("n", "taken"), ["c0", "c1"])
     back = m.select("cell_id", F.col("c1").alias("c0"), F.col("c0").alias("c1"))
     blocks = sampling.split_blocks(rows)
-    net, weights, every = simulate.retrain(first, counts, back, rows.select("cell_id", "v", "w"), blocks, sampling.scaler(rows, ["v", "w"]), ["v", "w"], GRID, block=7, n_each=5, epochs=2)
+    net, weights, every = simulate.retrain(first, counts, back, rows.select("cell_id", "v", "w"), blocks, sampling.scaler(rows, ["v", "w"]), ["v", "w"], grid(spark, sf), block=7, n_each=5, epochs=2)
     assert len(net.history) == 2 and every.count() > first.count()
     return rounded(weights, "w", digits=9)
 
@@ -392,7 +393,7 @@ def projection_areas(spark, sf):
     model = lambda rows: rows.withColumn("prob", mlp.linear_softmax(names, [[0.05 * k, 0.3 * (k % 3), 0.0005 * (k % 4)] for k in range(6)]))
     from gridloom.plans.queries import markov_absorbing
 
-    areas, _ = simulate.project(m.select("cell_id", F.col("c0").alias("cat")), GRID, model, _weights(spark, sf), {"trend": markov_absorbing(spark, sf)}, 2025, [2030, 2035], names=names, stored=derived.elevation(spark, sf).na.fill(0.0))
+    areas, _ = simulate.project(m.select("cell_id", F.col("c0").alias("cat")), grid(spark, sf), model, _weights(spark, sf), {"trend": markov_absorbing(spark, sf)}, 2025, [2030, 2035], names=names, stored=derived.elevation(spark, sf).na.fill(0.0))
     return rounded(areas, *[f"class_{k}" for k in range(1, 7)])
 
 

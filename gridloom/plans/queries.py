@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalar
 from gridloom.operators import allocate, costpath, focal, markov, metrics, mlp, overlay, sampling, temporal, vector
 from gridloom.plans import derived, quality, simulate
-from gridloom.plans.derived import COSTS, GRID, RESISTANCE, SQL, table
+from gridloom.plans.derived import COSTS, RESISTANCE, SQL, grid, table
 from gridloom.sources.tables import append_replace, cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,7 +61,7 @@ def demand_quotas(spark, sf):
 sum((c0 = 4)::int) * 0.09 class_4, sum((c0 = 5)::int) * 0.09 class_5, sum((c0 = 6)::int) * 0.09 class_6 from maps""")
 def area_by_class(spark, sf):
     now = derived.maps(spark, sf).select(F.lit("a").alias("scenario"), F.lit(1).alias("year"), F.col("c0").alias("cat"))
-    return rounded(markov.area_by_class(now, GRID.cell_ha), *[f"class_{k}" for k in range(1, 7)])
+    return rounded(markov.area_by_class(now, grid(spark, sf).cell_ha), *[f"class_{k}" for k in range(1, 7)])
 
 
 def _events(spark, sf):
@@ -242,7 +242,7 @@ split as (select block, case when i <= round_even(n * 0.7, 0) then 'train' when
 
 
 def _blocks(spark, sf):
-    return derived.maps(spark, sf).where("c0 > 0 and c1 > 0").withColumn("block", GRID.block("cell_id", 7))
+    return derived.maps(spark, sf).where("c0 > 0 and c1 > 0").withColumn("block", grid(spark, sf).block("cell_id", 7))
 
 
 @query(BLOCKS + "select block::bigint as block, split from split")
@@ -347,7 +347,7 @@ def mlp_score(spark, sf):
 select m.cell_id, """ + ", ".join(f"round(sum((n.c0 = {k})::int) / 25, 9) nbr_{k}" for k in range(1, 7)) + """
 from maps m cross join offs o join maps n on n.r = least(greatest(m.r + dr, 0), 39) and n.c = least(greatest(m.c + dc, 0), 49) group by 1""")
 def focal_share(spark, sf):
-    out = focal.focal_share(derived.maps(spark, sf), GRID, value="c0")
+    out = focal.focal_share(derived.maps(spark, sf), grid(spark, sf), value="c0")
     return rounded(out, *[f"nbr_{k}" for k in range(1, 7)], digits=9)
 
 
@@ -355,7 +355,7 @@ def focal_share(spark, sf):
 join elevation e on e.r = least(greatest(m.r + dr, 0), 39) and e.c = least(greatest(m.c + dc, 0), 49))
 select cell_id, case when count(v) = 9 then round(degrees(atan(sqrt(pow(sum(v * dc * (2 - abs(dr))) / 240, 2) + pow(sum(v * dr * (2 - abs(dc))) / 240, 2)))), 6) end slope from n group by 1""")
 def slope_horn(spark, sf):
-    return rounded(focal.slope_horn(derived.elevation(spark, sf), GRID), "slope")
+    return rounded(focal.slope_horn(derived.elevation(spark, sf), grid(spark, sf)), "slope")
 
 
 NEAR = """, dist as (select a.cell_id, a.c0, sqrt(min(pow(a.r - b.r, 2) + pow(a.c - b.c, 2)) filter (where b.c0 = 5)) * 30 d5,
@@ -366,12 +366,12 @@ sqrt(min(pow(a.r - b.r, 2) + pow(a.c - b.c, 2)) filter (where b.c0 <> 1)) * 30 n
 
 @query(NEAR + "select cell_id, round(d5, 6) distance from dist")
 def distance_to_class(spark, sf):
-    return rounded(focal.distance_to(derived.maps(spark, sf), GRID, F.col("c0") == 5), "distance")
+    return rounded(focal.distance_to(derived.maps(spark, sf), grid(spark, sf), F.col("c0") == 5), "distance")
 
 
 @query(NEAR + "select cell_id, round(case when c0 = 1 then -n1 else d1 end, 6) distance from dist")
 def signed_distance(spark, sf):
-    return rounded(focal.signed_distance_to(derived.maps(spark, sf), GRID, F.col("c0") == 1), "distance")
+    return rounded(focal.signed_distance_to(derived.maps(spark, sf), grid(spark, sf), F.col("c0") == 1), "distance")
 
 
 @query(""", s as (select cell_id, r, c, (r * 2 + c)::double v from cells where r < 20 and c < 25),
@@ -381,16 +381,17 @@ select cell_id, round(sum(v * w) / sum(w), 6) v from k where w > 0 group by 1"""
 def resample_bilinear(spark, sf):
     from gridloom.grid import Grid
 
-    coarse = Grid("local", 60.0, 0.0, 1200.0, 25, 20)
+    g = grid(spark, sf)
+    coarse = Grid("local", 60.0, 0.0, g.ymax, g.width // 2, g.height // 2)
     source = coarse.cells(spark).select("cell_id", (coarse.row() * 2 + coarse.column()).cast("double").alias("v"))
-    return rounded(focal.resample_bilinear(source, coarse, GRID), "v")
+    return rounded(focal.resample_bilinear(source, coarse, grid(spark, sf)), "v")
 
 
 @query("""select count(*) n, round(corr(a, b), 6) r, round(avg(a - b), 6) bias, round(sqrt(avg(pow(a - b, 2))), 6) rmse, round(median(a), 6) median_a, round(median(b), 6) median_b
 from (select v / 10 a, degrees(atan((v + c % 7) / 500)) b from elevation where v is not null)""")
 def slope_check(spark, sf):
     e = derived.elevation(spark, sf)
-    a, b = F.col("v") / 10, (F.col("v") + GRID.column() % 7) / 5
+    a, b = F.col("v") / 10, (F.col("v") + grid(spark, sf).column() % 7) / 5
     return rounded(e.agg(*focal.slope_agreement(a, b)), "r", "bias", "rmse", "median_a", "median_b")
 
 
@@ -419,7 +420,7 @@ met as (select cell_id, s.year, k, avg(v) v from prices p join spans s on p.year
 select c.cell_id, y::int as year, round(coalesce(max(v) filter (where k = 0), max(v) filter (where k = 1), max(v) filter (where k = 2)), 4) v,
 coalesce(min(k) filter (where v is not null), 255)::int as level from cells c cross join range(1997, 2002) t(y) left join met m on m.cell_id = c.cell_id and m.year = y group by 1, 2""")
 def gapfill_level(spark, sf):
-    out = temporal.gap_filled(derived.prices(spark, sf), list(range(1997, 2002)), [(0, 0), (-2, 0), (-4, 2)], 2001, ["v"], "v", GRID.cells(spark))
+    out = temporal.gap_filled(derived.prices(spark, sf), list(range(1997, 2002)), [(0, 0), (-2, 0), (-4, 2)], 2001, ["v"], "v", grid(spark, sf).cells(spark))
     return rounded(out, "v", digits=4)
 
 
@@ -450,7 +451,7 @@ def rasterize_boxes(spark, sf):
 
 @query("select cell_id, max(uc_id) uc_id from inside group by 1")
 def burn_order(spark, sf):
-    cells = vector.rasterize(derived.boxes(spark, sf), GRID)
+    cells = vector.rasterize(derived.boxes(spark, sf), grid(spark, sf))
     return vector.by_burn_order(cells, "uc_id", "uc_id")
 
 
@@ -470,7 +471,7 @@ def shape_bounds(spark, sf):
 
 @query("select r.i * 16 row0, c.i * 16 col0, least(16, 40 - r.i * 16) height, least(16, 50 - c.i * 16) width from range(3) r(i), range(4) c(i)", "")
 def grid_tiles(spark, sf):
-    return GRID.tiles(spark, 16).select(*[F.col(c).cast("long") for c in ("row0", "col0", "height", "width")])
+    return grid(spark, sf).tiles(spark, 16).select(*[F.col(c).cast("long") for c in ("row0", "col0", "height", "width")])
 
 
 # Networks
@@ -482,16 +483,16 @@ def resistance_map(spark, sf):
 
 
 def _net(spark, sf):
-    cells = derived.maps(spark, sf).select("cell_id", F.col("c1").alias("cat"))
-    found = costpath.nodes(cells, derived.owners(spark, sf), GRID.cell_ha, 0.2)
-    cost = resistance_map(spark, sf)
-    return cells, cost, found, cut(costpath.cost_from_nodes(cost, found, GRID))
+    cells, owners = cut(derived.maps(spark, sf).select("cell_id", F.col("c1").alias("cat"))), cut(derived.owners(spark, sf))
+    found = cut(costpath.nodes(cells, owners, grid(spark, sf).cell_ha, 0.2))
+    cost = cells.select("cell_id", costpath.resistance(F.col("cat"), RESISTANCE).alias("cost"))
+    return cells, cost, found, cut(costpath.cost_from_nodes(cost, found, grid(spark, sf)))
 
 
 @query("select uc_id, round(ha, 6) forest_ha from forest")
 def node_areas(spark, sf):
     cells = derived.maps(spark, sf).select("cell_id", F.col("c1").alias("cat"))
-    return rounded(costpath.node_areas(cells, derived.owners(spark, sf), GRID.cell_ha), "forest_ha")
+    return rounded(costpath.node_areas(cells, derived.owners(spark, sf), grid(spark, sf).cell_ha), "forest_ha")
 
 
 @query(COSTS + "select uc_id, cell_id, round(d, 6) total from total", SQL)
@@ -507,14 +508,15 @@ def pairwise_links(spark, sf):
 
 def _corridor(spark, sf):
     cells, cost, found, total = _net(spark, sf)
-    linked = costpath.traced(total, costpath.cheapest_pairs(total, found), GRID)
-    return cells, costpath.corridors(cost, found, costpath.path_windows(linked, GRID, 100), GRID)
+    pairs = cut(costpath.cheapest_pairs(total, found))
+    windows = costpath.path_windows(costpath.traced(total, pairs, grid(spark, sf)), grid(spark, sf), 100)
+    return cells, pairs, costpath.corridors(cost, found, windows, grid(spark, sf))
 
 
 @query(COSTS + "select uc_a, uc_b, round(count(*) * 0.09, 6) corridor_ha, round(count(*) filter (where c1 in (1, 2)) * 0.09, 6) natural_ha from corridor join maps using (cell_id) group by 1, 2", SQL)
 def corridor_area(spark, sf):
-    cells, found = _corridor(spark, sf)
-    return rounded(costpath.corridor_area(found, cells, GRID.cell_ha), "corridor_ha", "natural_ha")
+    cells, _, found = _corridor(spark, sf)
+    return rounded(costpath.corridor_area(found, cells, grid(spark, sf).cell_ha), "corridor_ha", "natural_ha")
 
 
 def _renamed(sql, *names):
@@ -537,12 +539,10 @@ rd as (select r.*, b.cost is not null as exists, 100 * natural_lost_ha / nullif(
 
 
 def _ruptures(spark, sf):
-    m, owners = derived.maps(spark, sf), derived.owners(spark, sf)
-    cells, found = _corridor(spark, sf)
-    later, how = m.select("cell_id", F.col("c0").alias("cat")), {"min_ha": 0.2, "size": 64}
-    own = pairwise_links(spark, sf)
-    ref = costpath.Network(own, own, cut(found), cells, own)
-    return costpath.evaluate(later, owners, GRID, RESISTANCE, ref=ref, **how).links
+    cells, pairs, found = _corridor(spark, sf)
+    earlier = derived.maps(spark, sf).select("cell_id", F.col("c0").alias("cat"))
+    ref = costpath.Network(pairs, pairs, cut(found), cells, pairs)
+    return costpath.evaluate(earlier, derived.owners(spark, sf), grid(spark, sf), RESISTANCE, ref=ref, min_ha=0.2).links
 
 
 @query(COSTS + RUPTURE + """select uc_a, uc_b, exists, cost, round(cost_ref, 6) cost_ref, round(natural_ref_ha, 6) natural_ref_ha, round(natural_lost_ha, 6) natural_lost_ha, round(forest_lost_ha, 6) forest_lost_ha,
@@ -563,7 +563,7 @@ def horizon_summary(spark, sf):
 def network_report(spark, sf):
     """Direct links of the later map with names, lengths, crossed areas and corridors, evaluated whole."""
     cells = derived.maps(spark, sf).select("cell_id", F.col("c1").alias("cat"))
-    return costpath.evaluate(cells, derived.owners(spark, sf), GRID, RESISTANCE, names=derived.boxes(spark, sf), min_ha=0.2).links.drop("path")
+    return costpath.evaluate(cells, derived.owners(spark, sf), grid(spark, sf), RESISTANCE, names=derived.boxes(spark, sf), min_ha=0.2).links.drop("path")
 
 
 # Overlay
@@ -602,7 +602,7 @@ from maps left join priority using (cell_id) group by 1)""")
 def loss_gain(spark, sf):
     m = derived.maps(spark, sf)
     a, b = (m.select("cell_id", F.col(f"c{t}").alias("cat")) for t in (0, 1))
-    out = overlay.loss_gain(m, derived.priority(spark, sf), a, b, GRID.cell_ha)
+    out = overlay.loss_gain(m, derived.priority(spark, sf), a, b, grid(spark, sf).cell_ha)
     return rounded(out, *[c for c, t in out.dtypes if t == "double"])
 
 
@@ -652,7 +652,7 @@ def simulate_step(spark, sf):
     model = lambda rows: rows.withColumn("prob", mlp.linear_softmax(names, weights))
     cells = m.select("cell_id", F.col("c0").alias("cat"))
     dem = derived.elevation(spark, sf).na.fill(0.0)
-    return simulate.simulate_step(cells, GRID, model, _weights(spark, sf), markov_absorbing(spark, sf), names=names, stored=dem, recompute=True)
+    return simulate.simulate_step(cells, grid(spark, sf), model, _weights(spark, sf), markov_absorbing(spark, sf), names=names, stored=dem, recompute=True)
 
 
 # Smaller operators
@@ -667,7 +667,7 @@ def forest_two_ways(spark, sf):
 @query("""select year, round(avg((v is not null)::int) * 100, 6) valid_pct, min(v) min, round(avg(v), 4) mean, max(v) max from prices
 where cell_id // 50 between 16 and 31 and cell_id % 50 between 16 and 31 group by 1""")
 def probe_tile(spark, sf):
-    out = quality.probe(derived.prices(spark, sf), GRID, 16, 16, 16, 16)
+    out = quality.probe(derived.prices(spark, sf), grid(spark, sf), 16, 16, 16, 16)
     return rounded(rounded(out, "valid_pct"), "mean", digits=4)
 
 
@@ -683,12 +683,12 @@ def clean_names(spark, sf):
 select o_orderkey, floor((1200 - o_orderkey % 1300) / 30)::bigint r, floor((o_custkey % 1600 - 30) / 30)::bigint c from orders)""", "")
 def world_to_cell(spark, sf):
     o = table(spark, sf, "orders")
-    return o.select("o_orderkey", GRID.cell_at((F.col("o_custkey") % 1600 - 30).cast("double"), (F.col("o_orderkey") % 1300).cast("double")).alias("cell_id"))
+    return o.select("o_orderkey", grid(spark, sf).cell_at((F.col("o_custkey") % 1600 - 30).cast("double"), (F.col("o_orderkey") % 1300).cast("double")).alias("cell_id"))
 
 
 @query("select cell_id, (c + 0.5) * 30 x, 1200 - (r + 0.5) * 30 y from cells")
 def cell_centres(spark, sf):
-    path = GRID.cells(spark).select("cell_id", vector.path_points(F.array("cell_id", "cell_id"), GRID)[0].alias("p"))
+    path = grid(spark, sf).cells(spark).select("cell_id", vector.path_points(F.array("cell_id", "cell_id"), grid(spark, sf))[0].alias("p"))
     return path.select("cell_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
@@ -701,7 +701,7 @@ def polygon_areas(spark, sf):
 @query("select cell_id, uc_id from nodes")
 def forest_nodes(spark, sf):
     cells = derived.maps(spark, sf).select("cell_id", F.col("c1").alias("cat"))
-    return costpath.nodes(cells, derived.owners(spark, sf), GRID.cell_ha, 0.2)
+    return costpath.nodes(cells, derived.owners(spark, sf), grid(spark, sf).cell_ha, 0.2)
 
 
 @query(LINKS + """select uc_a::int uc_a, uc_b, coalesce(string_agg(distinct uc_id::varchar, ',' order by uc_id::varchar) filter (where uc_id not in (uc_a, uc_b)), '') crosses
@@ -709,7 +709,7 @@ from paths left join owners using (cell_id) group by 1, 2""")
 def crossed_areas(spark, sf):
     path, _ = _paths(spark, sf)
     paths = path.groupBy("uc_a", "uc_b").agg(F.sort_array(F.collect_list("cell_id")).alias("path")).withColumn("cost", F.lit(0.0))
-    return costpath.links(paths, derived.owners(spark, sf), GRID.res).select("uc_a", "uc_b", "crosses")
+    return costpath.links(paths, derived.owners(spark, sf), grid(spark, sf).res).select("uc_a", "uc_b", "crosses")
 
 
 @query("select event_id, json_extract(props, '$.k')::int k from events", "")
@@ -730,7 +730,7 @@ def extreme_values(spark, sf):
 def layer_alignment(spark, sf):
     from gridloom.grid import layer_faults
 
-    return layer_faults(derived.maps(spark, sf).select("cell_id", F.col("c0").alias("v")), GRID, sentinel=0)
+    return layer_faults(derived.maps(spark, sf).select("cell_id", F.col("c0").alias("v")), grid(spark, sf), sentinel=0)
 
 
 from gridloom.plans import more  # noqa: E402,F401  registers further queries
