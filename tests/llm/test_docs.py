@@ -483,3 +483,33 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "personal_data":
             assert out.where("doc_id = 2100").first()["text"] == "mail [EMAIL] now" and out.count() == docs.count()
     assert {"doc_id", "batch", "slot"} <= set(out.columns) and out.count() == docs.count()
+
+
+def test_stages_keep_clashing_columns_and_take_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows, marks = toxic_rows()
+    rows = [*rows[:120], rows[1], rows[1], (None, None, None), (None, None, None), (900, "", "t"), (901, "call +1 (988) 555-2485 now", "t")]
+    spark.createDataFrame(marks[:120], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["score", "predicted", "held_out", "n_email", "spans", "redacted", "_row", "_found", "_n", "_i", "_copy", "_k", "key", "row", "node", "turn", "_b", "toxic", "quality", "_id"]
+    docs = documents(spark, rows).withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in names})
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        found = out.collect()
+        assert found and all(r[c] == f"{c}:{'none' if r['doc_id'] is None else r['doc_id']}" for r in found for c in names), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name == "personal_data":
+            assert len(found) == len(rows) and [r["text"] for r in found if r["doc_id"] == 901] == ["call [PHONE] now"] and [r["text"] for r in found if r["doc_id"] is None] == [None, None]
+            assert len({(r["text"], r["n_chars"]) for r in found if r["doc_id"] == 1}) == 1
+    packed = pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.count() == len(rows) and pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_and_ids_each_have_their_result(spark, tagger):
+    rows = [(1, "mit license a@b.com"), (1, "mit license a@b.com"), (1, "cc by"), (None, "mit license a@b.com"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"] or 0, r["n_email"], r["spans"]) for r in pii.detect(docs, tagger=tagger).collect())
+    assert found == [(0, 0, ""), (0, 1, "email:12:19"), (1, 0, ""), (1, 1, "email:12:19"), (1, 1, "email:12:19")]
+    notices = sorted((r["doc_id"] or 0, r["n_words"], r["base_labels"]) for r in licenses.scan_licenses(docs).collect())
+    assert notices == [(0, 0, ""), (0, 5, "mit"), (1, 2, "cc-by"), (1, 5, "mit"), (1, 5, "mit")]
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
