@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +11,9 @@ from gridloom.functions.scalar import class_map
 from gridloom.operators.ranks import grouped_rank
 from gridloom.sources.tables import cut
 
+#: Length of the arrays of probabilities.
+CLASSES = 6
+
 
 def target_order(quotas: DataFrame) -> DataFrame:
     """(c0, c1, q, k): an origin's targets by ascending quota, ties by class; the diagonal has none."""
@@ -58,27 +62,56 @@ def cutoffs(rows: DataFrame, take: dict[int, int], bins: int = 4096, few: int =
     return found
 
 
-def allocate(cells: DataFrame, quotas: DataFrame, share: float, classes: int = 6) -> DataFrame:
+def local_cutoffs(cell: np.ndarray, prob: np.ndarray, order: list[tuple[int, int]]) -> list[tuple[int, tuple[float, int] | None]]:
+    """(c1, cutoff) of an origin's targets (c1, take) in turn, over all its cells."""
+    out, free = [], np.ones(len(cell), bool)
+    for c1, take in order:
+        p = prob[:, c1 - 1]
+        best = np.lexsort((cell, -p))
+        best = best[free[best]][:take]
+        out.append((c1, (float(p[best[-1]]), int(cell[best[-1]])) if len(best) == take else None))
+        free[best] = False
+    return out
+
+
+def allocate(cells: DataFrame, quotas: DataFrame, share: float, few: int = 20_000) -> DataFrame:
     """cells after one iteration. cells: (cell_id, c0, cur, moved, prob); quotas: (c0, c1, q).
 
     Each target takes the unmoved cells of its origin with the highest probability, ties by cell_id: ceil(share * q) of them, at most q,
     or all that are left. A cell has one origin, so origins do not meet: round k serves the k-th target of all origins at once. A round finds
-    the place where each target's taking ends (cutoffs()); which cells are taken is then a condition on the cell alone, without a join.
+    the place where each target's taking ends; which cells are taken is then a condition on the cell alone, without a join. Origins of at most
+    `few` cells have their places found on the driver, all rounds at once, the others by cutoffs().
     """
-    order = target_order(quotas).withColumn("take", F.least(F.ceil(F.col("q") * share), F.col("q"))).where("take > 0").collect()  # classes squared rows
-    cells, target = cut(cells), F.lit(None).cast("int")  # five rounds read it
-    for k in sorted({r["k"] for r in order}):
-        mine = {r["c0"]: r for r in order if r["k"] == k}
-        p = F.get("prob", class_map(F.col("c0"), {c0: r["c1"] - 1 for c0, r in mine.items()}, None).cast("int"))
+    order = target_order(quotas).withColumn("take", F.least(F.ceil(F.col("q") * share), F.col("q"))).where("take > 0").orderBy("c0", "k").collect()  # classes squared rows
+    cells, target = cut(cells), F.lit(None).cast("int")  # all rounds read it
+    value = lambda c1: F.coalesce(F.get("prob", F.lit(c1 - 1)), F.lit(0.0))
+
+    def taken(c0: int, c1: int, end: tuple[float, int] | None) -> Column:
+        within = F.lit(True) if end is None else (value(c1) > end[0]) | ((value(c1) == end[0]) & (F.col("cell_id") <= end[1]))
+        return F.when((F.col("c0") == c0) & within, c1)
+
+    sizes = {r["c0"]: r["count"] for r in cells.where(~F.col("moved")).groupBy("c0").count().collect()}
+    turns: dict[int, list[tuple[int, int]]] = {}
+    for r in order:
+        if r["c0"] in sizes:
+            turns.setdefault(r["c0"], []).append((r["c1"], r["take"]))
+    small = [c0 for c0 in turns if sizes[c0] <= few]
+    if small:
+        probs = F.array(*[value(k) for k in range(1, CLASSES + 1)]).alias("prob")
+        near = cells.where(~F.col("moved") & F.col("c0").isin(*small)).select("c0", "cell_id", probs).toPandas()
+        for c0, mine in near.groupby("c0"):
+            for c1, end in local_cutoffs(mine["cell_id"].to_numpy(), np.stack(mine["prob"].to_numpy()), turns[c0]):
+                target = F.coalesce(target, taken(c0, c1, end))
+    for k in range(max((len(t) for c0, t in turns.items() if c0 not in small), default=0)):
+        mine = {c0: t[k] for c0, t in turns.items() if c0 not in small and len(t) > k}
+        p = F.get("prob", class_map(F.col("c0"), {c0: c1 - 1 for c0, (c1, _) in mine.items()}, None).cast("int"))
         left = cells.where(~F.col("moved") & target.isNull() & F.col("c0").isin(*mine))
-        ends = cutoffs(left.select("c0", F.coalesce(p, F.lit(0.0)).alias("p"), "cell_id"), {c0: r["take"] for c0, r in mine.items()})
-        for c0, r in mine.items():
-            got = F.coalesce(F.get("prob", F.lit(r["c1"] - 1)), F.lit(0.0))
-            within = F.lit(True) if ends.get(c0) is None else (got > ends[c0][0]) | ((got == ends[c0][0]) & (F.col("cell_id") <= ends[c0][1]))
-            target = F.coalesce(target, F.when((F.col("c0") == c0) & within, r["c1"]))
+        ends = cutoffs(left.select("c0", F.coalesce(p, F.lit(0.0)).alias("p"), "cell_id"), {c0: take for c0, (_, take) in mine.items()}, few=few)
+        for c0, (c1, _) in mine.items():
+            target = F.coalesce(target, taken(c0, c1, ends.get(c0)))
     rest = [c for c in cells.columns if c not in ("cur", "moved")]
-    taken = cells.withColumn("_t", F.when(~F.col("moved"), target))
-    return taken.select(*rest, F.coalesce("_t", "cur").alias("cur"), (F.col("moved") | F.col("_t").isNotNull()).alias("moved")).select(*cells.columns)
+    new = cells.withColumn("_t", F.when(~F.col("moved"), target))
+    return new.select(*rest, F.coalesce("_t", "cur").alias("cur"), (F.col("moved") | F.col("_t").isNotNull()).alias("moved")).select(*cells.columns)
 
 
 def left_over(before: DataFrame, after: DataFrame, quotas: DataFrame) -> DataFrame:

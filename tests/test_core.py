@@ -145,7 +145,8 @@ def test_allocation_meets_quotas_and_freezes_moved_cells(spark):
     assert all(r["q"] == 0 for r in allocate.left_over(half, last, left).collect())
 
 
-def test_allocation_equals_the_sequential_order(spark):
+@pytest.mark.parametrize("few", [20_000, 25, 3])
+def test_allocation_equals_the_sequential_order(spark, few):
     rng = np.random.default_rng(5)
     c0, prob = rng.integers(1, 5, 120), np.round(rng.random((120, 6)), 1)
     q = rng.integers(0, 30, (6, 6))
@@ -157,7 +158,7 @@ def test_allocation_equals_the_sequential_order(spark):
             cur[cand], moved[cand] = j, True
     cells = spark.createDataFrame([(k, int(c0[k]), int(c0[k]), False, prob[k].tolist()) for k in range(120)], "cell_id long, c0 int, cur int, moved boolean, prob array<double>")
     quotas = spark.createDataFrame([(i + 1, j + 1, int(q[i, j])) for i in range(6) for j in range(6)], "c0 int, c1 int, q long")
-    got = {r["cell_id"]: r["cur"] for r in allocate.allocate(cells, quotas, share).collect()}
+    got = {r["cell_id"]: r["cur"] for r in allocate.allocate(cells, quotas, share, few).collect()}
     assert [got[k] for k in range(120)] == cur.tolist()
 
 
