@@ -91,12 +91,17 @@ def near(table: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray, radius
 
 def _first_round(similarity: float, radius: int):
     """Of each row the pair with the last earlier row of its group in range. What that leaves out goes to the second round:
-    (key, node) of rows that have further pairs in range, and the key of a group of more than NEAR rows."""
+    (key, node) of rows that have further pairs in range, and the key of a group of more than NEAR rows. The first and the last
+    key of a partition are told, as a group may go over several partitions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         refs, held, none = pivots(), pd.DataFrame(), np.empty(0, np.int64)
         for x in batches:
+            if not len(x):
+                continue
             old = len(held)
+            if not old:
+                yield pd.DataFrame({"a": x["key"].iloc[:1], "b": 0, "kind": "edge"})
             x = pd.concat([held, x], ignore_index=True)
             key, node, n = (x[c].to_numpy() for c in ("key", "node", "n"))
             fp = x["fp"].to_numpy(np.int64).view(np.uint64)
@@ -120,6 +125,8 @@ def _first_round(similarity: float, radius: int):
             k, m = np.unique(np.stack([key, node])[:, np.concatenate(over)], axis=1)
             yield pd.DataFrame({"a": np.r_[a, k, hot], "b": np.r_[b, m, hot], "kind": np.repeat(["pair", "member", "group"], [len(a), len(k), len(hot)])})
             held = x.iloc[-NEAR:]
+        if len(held):
+            yield pd.DataFrame({"a": held["key"].iloc[-1:], "b": 1, "kind": "edge"})
 
     return run
 
@@ -262,13 +269,16 @@ def keep_first(
 
     ahead = nodes.select("node", "n", "prints").mapInPandas(keyed, "node long, n int, fp long, keys array<long>")
     ahead = written(ahead, "similar-keys").select("node", "n", "fp", F.explode("keys").alias("key"))
-    found = ahead.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(trimmed(_first_round(similarity, radius)), "a long, b long, kind string")
-    found = written(found.distinct(), "similar-pairs")
+    # Ranges, not hashes, deal the rows out: a group with much of all rows goes over many tasks.
+    dealt = ahead.repartitionByRange("key", "fp", "node").sortWithinPartitions("key", "fp", "node")
+    found = written(dealt.mapInPandas(trimmed(_first_round(similarity, radius)), "a long, b long, kind string").distinct(), "similar-pairs")
     cold = found.where("kind = 'pair'").select("a", "b")
     links = _confirmed(docs, cold, nodes, key, text, width, seed, similarity, "similar-first")
-    hot = found.where("kind = 'group'").select(F.col("a").alias("key"))
+    # A key that ends one partition and begins another is a group that was cut, which the second round takes up whole.
+    hot = found.where("kind in ('group', 'edge')").groupBy(F.col("a").alias("key")).agg(F.max(F.col("kind") == "group").alias("large"), F.count("*").alias("ends"))
+    hot = hot.where("large or ends > 1").select("key")
     members = found.where("kind = 'member'").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    if found.where("kind <> 'pair'").limit(1).count():
+    if hot.limit(1).count() or members.limit(1).count():
         whole = salted_join(ahead.select("key", "node"), hot, ["key"], "node").union(members).distinct()
         named = nodes.join(components(links), "node", "left")
         named = written(named.select("node", "n", F.col("prints")[0].alias("fp"), "small", F.coalesce("component", "node").alias("root")), "similar-named")

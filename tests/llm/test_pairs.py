@@ -129,6 +129,22 @@ def shingle_set(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles keep all their partitions, so that groups of equal keys are cut."""
+    new = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_groups_cut_by_partitions_equal_brute_force(spark, many_partitions, monkeypatch):
+    test_groups_at_four_fifths_equal_brute_force(spark, monkeypatch, 2048, 64)
+
+
 @pytest.mark.parametrize("tile, near", [(2048, 64), (16, 8), (2048, 2)])
 def test_groups_at_four_fifths_equal_brute_force(spark, monkeypatch, tile, near):
     monkeypatch.setattr(similar, "TILE", tile)
