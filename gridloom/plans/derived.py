@@ -14,6 +14,8 @@ from gridloom.sources.tables import shared_dir
 
 #: The grid's height and width in cells, and the lines of the table that go with it.
 HEIGHT, WIDTH, LINES = 40, 50, 60_000
+#: That grid, for points that don't come from the lines.
+LEAST = Grid("local", 30.0, 0.0, 30.0 * HEIGHT, WIDTH, HEIGHT)
 _SIZES: dict[str, int] = {}
 
 

@@ -36,3 +36,15 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() == 36
+
+
+def test_world_to_cell_with_many_lines(spark, tmp_path):
+    spark.range(240_000).withColumnRenamed("id", "l_orderkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    points = "values (0, 30), (1, 30), (1200, 30), (1299, 30), (1300, 30), (600, 29), (601, 800), (602, 1529), (603, 1530), (604, 3199), (null, 60), (605, null)"
+    spark.sql(f"select cast(col1 as bigint) o_orderkey, cast(col2 as bigint) o_custkey from ({points})").write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = c.sql(entry.oracle_sql()["world_to_cell"]).project("o_orderkey, cell_id").fetchall()
+    got = entry.queries()["world_to_cell"](spark, str(tmp_path)).select("o_orderkey", "cell_id").collect()
+    assert plain(got) == plain(want)
+    assert sum(x[1] is None for x in want) == 8
