@@ -17,6 +17,8 @@ from gridloom.sources.tables import shared_dir
 
 #: Words are runs of everything but these seven white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a file of a slim table, about.
+FILE_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +29,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut, and a lost executor loses nothing.
+
+    With rows, about its number of rows, they are dealt evenly to files of FILE_ROWS, by one more shuffle. Otherwise each task
+    has a file of its own, however few its rows; on a local file system Hadoop starts processes for each, which share the executor's memory at first.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.repartition(1 + rows // FILE_ROWS)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
@@ -143,13 +151,13 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"a": a, "b": b})
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, component) of every node of the edges (a, b: long); component is the smallest reachable node.
 
     Edges contract to stars within partitions, then alternating large-star and small-star rounds run over
-    written tables until a round changes nothing. Nothing but one checksum row reaches the driver.
+    written tables until a round changes nothing. Nothing but one checksum row reaches the driver. rows: see written().
     """
-    edges = written(edges.select("a", "b").where("a <> b").mapInPandas(_contract, "a long, b long"), "edges")
+    edges = written(edges.select("a", "b").where("a <> b").mapInPandas(_contract, "a long, b long"), "edges", rows)
     last = None
     while True:
         sum_ = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
@@ -166,5 +174,5 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = salted_join(large, least, ["a"], "b")
         small = small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").where("a <> b").distinct()
-        was, edges = edges, written(small, "edges")
+        was, edges = edges, written(small, "edges", rows)
         discard(was)

@@ -170,8 +170,8 @@ def _allowed(apart: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndar
     return apart * (1 + similarity) <= (1 - similarity) * sizes + 1e-9
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, key: Column, text: Column, width: int, seed: int, similarity: float, name: str) -> DataFrame:
-    """The pairs of nodes (a, b) whose texts are similar. Only texts of some pair are moved."""
+def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, key: Column, text: Column, width: int, seed: int, similarity: float, name: str, rows: int) -> DataFrame:
+    """The pairs of nodes (a, b) whose texts are similar. Only texts of some pair are moved. rows: see written()."""
 
     def plausible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -183,9 +183,9 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, key: Column,
 
     wide = nodes.select("node", "n", "sketch")
     pairs = pairs.join(wide.toDF("a", "n_a", "sketch_a"), "a").join(wide.toDF("b", "n_b", "sketch_b"), "b")
-    pairs = written(pairs.mapInPandas(plausible, "a long, b long"), f"{name}-plausible")
+    pairs = written(pairs.mapInPandas(plausible, "a long, b long"), f"{name}-plausible", rows)
     want = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    want = written(want.join(nodes.select("node", "k"), "node"), f"{name}-wanted")
+    want = written(want.join(nodes.select("node", "k"), "node"), f"{name}-wanted", rows)
     # a bit map of fixed size says which texts may be wanted; the join decides
     slot = F.col("k").bitwiseAND(SLOTS - 1)
     words = want.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((k & {SLOTS - 1}) & 63 as int))")).alias("bits")).toPandas()
@@ -199,7 +199,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, key: Column,
         return pd.Series((held.value[at >> 6] >> (at & 63) & 1).astype(bool))
 
     texts = docs.select(key.alias("k"), text.alias("text")).where(wanted("k")).join(want, "k")
-    texts = written(texts.select("node", "text").dropDuplicates(["node"]), f"{name}-texts")
+    texts = written(texts.select("node", "text").dropDuplicates(["node"]), f"{name}-texts", rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: dict[int, np.ndarray] = {}
@@ -217,7 +217,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, key: Column,
             yield x.loc[keep, ["a", "b"]]
 
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    links = written(both.select("a", "b", "text_a", "text_b").mapInPandas(trimmed(run), "a long, b long"), f"{name}-links")
+    links = written(both.select("a", "b", "text_a", "text_b").mapInPandas(trimmed(run), "a long, b long"), f"{name}-links", rows)
     discard(pairs, want, texts)
     return links
 
@@ -257,8 +257,9 @@ def keep_first(
     # Of the rows of a node only its first is looked at further; the rest of a node's columns follow from its set.
     first = F.min(F.struct(F.col("id").isNull().alias("void"), "id", "k")).alias("first")
     nodes = rows.groupBy("node").agg(first, *(F.any_value(c).alias(c) for c in ("n", "prints", "sketch", "small")))
-    nodes = written(nodes.withColumn("k", F.col("first.k")), "similar-nodes")
-    bits, bands, short_bands, radius = calibrate(nodes.count(), similarity, recall)
+    nodes = written(nodes.withColumn("k", F.col("first.k")), "similar-nodes", rows.count())
+    n_nodes = nodes.count()
+    bits, bands, short_bands, radius = calibrate(n_nodes, similarity, recall)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -271,29 +272,29 @@ def keep_first(
     ahead = written(ahead, "similar-keys").select("node", "n", "fp", F.explode("keys").alias("key"))
     # Ranges, not hashes, deal the rows out: a group with much of all rows goes over many tasks.
     dealt = ahead.repartitionByRange("key", "fp", "node").sortWithinPartitions("key", "fp", "node")
-    found = written(dealt.mapInPandas(trimmed(_first_round(similarity, radius)), "a long, b long, kind string").distinct(), "similar-pairs")
+    found = written(dealt.mapInPandas(trimmed(_first_round(similarity, radius)), "a long, b long, kind string").distinct(), "similar-pairs", n_nodes)
     cold = found.where("kind = 'pair'").select("a", "b")
-    links = _confirmed(docs, cold, nodes, key, text, width, seed, similarity, "similar-first")
+    links = _confirmed(docs, cold, nodes, key, text, width, seed, similarity, "similar-first", n_nodes)
     # A key that ends one partition and begins another is a group that was cut, which the second round takes up whole.
     hot = found.where("kind in ('group', 'edge')").groupBy(F.col("a").alias("key")).agg(F.max(F.col("kind") == "group").alias("large"), F.count("*").alias("ends"))
     hot = hot.where("large or ends > 1").select("key")
     members = found.where("kind = 'member'").select(F.col("a").alias("key"), F.col("b").alias("node"))
     if hot.limit(1).count() or members.limit(1).count():
         whole = salted_join(ahead.select("key", "node"), hot, ["key"], "node").union(members).distinct()
-        named = nodes.join(components(links), "node", "left")
-        named = written(named.select("node", "n", F.col("prints")[0].alias("fp"), "small", F.coalesce("component", "node").alias("root")), "similar-named")
-        slim = written(whole.join(named.select("node", "root"), "node"), "similar-hot")
+        named = nodes.join(components(links, n_nodes), "node", "left")
+        named = written(named.select("node", "n", F.col("prints")[0].alias("fp"), "small", F.coalesce("component", "node").alias("root")), "similar-named", n_nodes)
+        slim = written(whole.join(named.select("node", "root"), "node"), "similar-hot", n_nodes)
         # A group that the first round has connected leaves nothing to compare.
         open_ = slim.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / TILE).cast("int").alias("of"))
-        open_ = written(open_.where("x <> y").select("key", "of"), "similar-open")
+        open_ = written(open_.where("x <> y").select("key", "of"), "similar-open", n_nodes)
         r = salted_join(slim.select("key", "node"), open_, ["key"], "node").join(named, "node")
         r = r.withColumn("t", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
         r = r.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
         r = r.select("key", "node", "n", "fp", "small", "root", "t", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
         more = r.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInPandas(trimmed(_second_round(similarity, radius)), "a long, b long")
-        more = written(more.distinct().join(cold, ["a", "b"], "left_anti"), "similar-more")
-        links = links.union(_confirmed(docs, more, nodes, key, text, width, seed, similarity, "similar-second"))
-    group = nodes.join(components(links), "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
+        more = written(more.distinct().join(cold, ["a", "b"], "left_anti"), "similar-more", n_nodes)
+        links = links.union(_confirmed(docs, more, nodes, key, text, width, seed, similarity, "similar-second", n_nodes))
+    group = nodes.join(components(links, n_nodes), "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = group.select(F.col("first.k").alias("_k"))
     mine = [F.col(c) for c in docs.columns]
     whole = docs.select(F.struct(*mine).alias("row"), key.alias("key"))

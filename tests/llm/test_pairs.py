@@ -1,5 +1,6 @@
 """Near-duplicates and nearest neighbours against brute force; skew, nulls, ties, empty tables, extra columns."""
 
+import os
 import random
 
 import numpy as np
@@ -145,6 +146,26 @@ def test_groups_cut_by_partitions_equal_brute_force(spark, many_partitions, monk
     test_groups_at_four_fifths_equal_brute_force(spark, monkeypatch, 2048, 64)
 
 
+def test_few_rows_make_few_files(spark, many_partitions, monkeypatch):
+    monkeypatch.setattr(similar, "NEAR", 4)  # so that there is a second round
+    paths, discarded = [], []
+    monkeypatch.setattr(common, "new_path", lambda s, name, f=common.new_path: paths.append(f(s, name)) or paths[-1])
+    monkeypatch.setattr(similar, "discard", lambda *tables: discarded.extend(tables))
+    rng = random.Random(5)
+    texts = family(rng, lambda: "".join(rng.choice("abcdefgh") for _ in range(4)), 60, 90)
+    similar.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)).count()
+    count = {p.rpartition("/")[2].rpartition("-")[0]: len([f for f in os.listdir(p.removeprefix("file://")) if f.startswith("part-")]) for p in paths if os.path.isdir(p.removeprefix("file://"))}
+    assert {"similar-nodes", "similar-pairs", "similar-first-texts", "similar-second-links", "edges"} <= set(count) and len(discarded) == 6
+    assert max(count.values()) == 1, count
+
+
+def test_rows_are_dealt_evenly_to_files(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILE_ROWS", 100)
+    got = common.written(spark.range(0, 1000, 1, 30).where("id < 990"), "dealt", 990)
+    sizes = [r["count"] for r in got.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 10 and min(sizes) > 50 and got.agg(F.sum("id")).first()[0] == 989 * 990 // 2
+
+
 @pytest.mark.parametrize("tile, near", [(2048, 64), (16, 8), (2048, 2)])
 def test_groups_at_four_fifths_equal_brute_force(spark, monkeypatch, tile, near):
     monkeypatch.setattr(similar, "TILE", tile)
